@@ -66,7 +66,7 @@ class Workspace:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's estimate for the input, 0 where it has none."""
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return n if n < 1 << 56 else 0
 
 
