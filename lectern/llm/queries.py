@@ -12,6 +12,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .archive import archive_pages
+
+    return archive_pages(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .counts import token_counts
 
@@ -58,5 +64,14 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op5_jaccard_join, op6_chat_format, op7_substring_dedup, op8_quality, op9_decontaminate, op10_nearest)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc, op3_token_counts, op5_jaccard_join, op6_chat_format, op7_substring_dedup, op8_quality, op9_decontaminate, op10_nearest)}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+        FROM f""",
+}
