@@ -16,6 +16,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .archive import archive_pages
 
@@ -74,7 +80,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc, op3_token_counts, op4_pii, op5_jaccard_join, op6_chat_format, op7_substring_dedup, op8_quality, op9_decontaminate, op10_nearest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_token_counts, op4_pii, op5_jaccard_join, op6_chat_format, op7_substring_dedup, op8_quality, op9_decontaminate, op10_nearest)}
 ORACLES: dict[str, str] = {
     "op2_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
