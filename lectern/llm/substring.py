@@ -76,31 +76,42 @@ def _entries(h: np.ndarray, g: np.ndarray, key: np.ndarray, pos: np.ndarray, n:
     yield pack(bucket, {"h": h[at], "g": g[at], "k": key[at], "p": pos[at].astype(np.uint32), "f": flag})
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket's entries those whose hash came from more than one place, by document key."""
+def _repeated(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Of a bucket's entries those whose hash came from more than one place, packed by document."""
     e = unpack(batches, h=np.uint64, g=np.uint32, k=np.int64, p=np.uint32, f=np.uint8)
     free = np.flatnonzero(e["f"] == 0)
     order, group = groups(e["h"][free], e["g"][free])
     many = free[order[np.bincount(group)[group] > 1]] if len(free) else free
     take = np.concatenate([many, np.flatnonzero(e["f"] == 1)])
     key, pos = e["k"][take], e["p"][take]
-    order = np.argsort(key, kind="stable")
-    ids, at = np.unique(key[order], return_index=True)
+    for lo in range(0, len(key), 1 << 20):
+        k, p = key[lo : lo + (1 << 20)], pos[lo : lo + (1 << 20)]
+        yield pack(buckets(mix(k.view(np.uint64)), n), {"k": k, "p": p})
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct positions of each document, in one binary."""
+    e = unpack(batches, k=np.int64, p=np.uint32)
+    order, group = groups(e["k"], e["p"])
+    key, pos = e["k"][order], e["p"][order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
+    key, pos = key[new], pos[new]
+    ids, at = np.unique(key, return_index=True)
     for lo in range(0, len(ids), 20_000):
         hi = min(lo + 20_000, len(ids))
         bounds = np.append(at, len(key))[lo : hi + 1]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), ragged_binary(pos[order][bounds[0] : bounds[-1]], bounds - bounds[0])], ["key", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), ragged_binary(pos[bounds[0] : bounds[-1]], bounds - bounds[0])], ["key", "at"])
 
 
 def _matches(entries: DataFrame, n: int) -> DataFrame:
-    found = exchange(entries, n).mapInArrow(_repeated, "key long, at binary")
-    return found.groupBy("key").agg(F.collect_list("at").alias("at"))
+    found = exchange(entries, n).mapInArrow(lambda b: _repeated(b, n), schema("k", "p"))
+    return exchange(found, n).mapInArrow(_by_document, "key long, at binary")
 
 
 def _positions(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """Distinct positions of each row, from a list of binaries."""
-    col = batch.column(batch.schema.get_field_index("at"))
-    return [np.unique(np.frombuffer(b"".join(x or []), np.uint32)).astype(np.int64) for x in col.to_pylist()]
+    """The positions of each row."""
+    return [np.frombuffer(x or b"", np.uint32).astype(np.int64) for x in batch.column(batch.schema.get_field_index("at")).to_pylist()]
 
 
 def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
