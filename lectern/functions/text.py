@@ -58,7 +58,7 @@ def truncate_display(text: Column, most: int = DISPLAY_CHARS) -> Column:
 
 
 def file_name(name: Column) -> Column:
-    """Last component after / or \; `upload` where that is empty."""
+    r"""Last component after / or \; `upload` where that is empty."""
     return F.coalesce(F.nullif(F.regexp_extract(name, r"[^/\\]*$", 0), F.lit("")), F.lit("upload"))
 
 
