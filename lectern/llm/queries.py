@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLES
+
 
 #: The key of the registered query; a deployment passes its own secret.
 PII_KEY = "lectern"
@@ -81,13 +83,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_token_counts, op4_pii, op5_jaccard_join, op6_chat_format, op7_substring_dedup, op8_quality, op9_decontaminate, op10_nearest)}
-ORACLES: dict[str, str] = {
-    "op2_warc": """
-        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
-        d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
-        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
-        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
-        FROM f""",
-}
+
+__all__ = ["ORACLES", "PII_KEY", "QUERIES"]
