@@ -302,10 +302,10 @@ def fold(node: object) -> object:
             if node.op == "?":
                 return args[1] if args[0].value else args[2]
             return args[1] if bool(args[0].value) == (node.op == "and") else args[0]
-        return Const(_value(Op(node.op, args))({})) if all(isinstance(a, Const) for a in args) else Op(node.op, args)
+        return _constant(Op(node.op, args)) if all(isinstance(a, Const) for a in args) else Op(node.op, args)
     if isinstance(node, Filter):
         arg = fold(node.arg)
-        return Const(_value(Filter(node.name, arg))({})) if isinstance(arg, Const) else Filter(node.name, arg)
+        return _constant(Filter(node.name, arg)) if isinstance(arg, Const) else Filter(node.name, arg)
     if isinstance(node, Item):
         return Item(fold(node.base), fold(node.key))
     if isinstance(node, Emit):
@@ -324,6 +324,13 @@ def fold(node: object) -> object:
     return node
 
 
+def _constant(node: object) -> Const:
+    try:
+        return Const(_value(node)({}))
+    except TypeError as e:
+        raise TemplateError(str(e)) from None
+
+
 def _value(node: object) -> Callable[[dict], object]:
     """A closure that computes an expression from the variables."""
     if isinstance(node, Const):
