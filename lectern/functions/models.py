@@ -49,7 +49,8 @@ def context_report(context: Column, overridden: Column, nominal: Column, trained
 def free_memory(line: Column) -> Column:
     """Bytes free from a `used,total` line in MiB; null if it can't be read."""
     parts = F.transform(F.split(F.element_at(F.split(line, "\n"), 1), ","), lambda x: F.try_to_number(F.trim(x), F.lit("999999999")).cast("bigint"))
-    return F.greatest(F.get(parts, F.lit(1)) - F.get(parts, F.lit(0)), F.lit(0).cast("bigint")) * 1048576
+    free = F.get(parts, F.lit(1)) - F.get(parts, F.lit(0))
+    return F.when(free.isNotNull(), F.greatest(free, F.lit(0).cast("bigint")) * 1048576)
 
 
 def offload_warning(fraction: Column, model: Column) -> Column:

@@ -70,7 +70,9 @@ class Store:
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._options = jvm.org.apache.hadoop.fs
         if self._fs.exists(self._path(self._current)):
-            self.manifest = Manifest(**json.loads(spark.read.text(self._current, wholetext=True).first()[0]))
+            stream = self._fs.open(self._path(self._current))
+            self.manifest = Manifest(**json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
         else:
             self.manifest = Manifest()
             self._commit(spark.createDataFrame([], CHUNKS), spark.createDataFrame([], META), self.manifest)
