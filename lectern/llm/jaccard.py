@@ -95,8 +95,7 @@ def _survivors(docs: DataFrame, n: int, threshold: Fraction, share: float, work:
             ids = _longs(batch, "doc_id")
             # Document rows pass through the same exchange.
             at = buckets(mix(c1.view(np.uint64)), parts)
-            empty = {c: np.empty(0, np.int64) for c in ("h", "o", "k", "v")}
-            yield _rows(at, {"d": ids, "c1": c1, "c2": c2, "n": size, "s": np.diff(part)}, empty)
+            yield _rows(at, {"d": ids, "c1": c1, "c2": c2, "n": size, "s": np.diff(part)})
             _, once = np.unique(c1, return_index=True)  # copies inside the batch count once
             row = np.repeat(np.arange(len(size)), np.diff(part))
             take = np.isin(row, once)
@@ -112,13 +111,14 @@ def _survivors(docs: DataFrame, n: int, threshold: Fraction, share: float, work:
             shared, counts = np.unique(owner[order][several], return_counts=True)
             lead = order[first]
             alone = np.where(several[first], 0, 1)
-            none = {c: np.empty(0, np.int64) for c in ("d", "c1", "c2", "n", "s")}
-            yield _rows(buckets(h[lead], parts), {"h": h[lead].view(np.int64), "o": owner[lead] * alone}, none | {c: np.empty(0, np.int64) for c in ("k", "v")})
-            yield _rows(buckets(mix(shared.view(np.uint64)), parts), {"k": shared, "v": counts}, none | {c: np.empty(0, np.int64) for c in ("h", "o")})
+            # Half of a hash tells the n-grams of a bucket apart; two that it confuses count as
+            # shared, which rules out less.
+            yield _rows(buckets(h[lead], parts), {"h": h[lead].astype(np.uint32), "o": owner[lead] * alone})
+            yield _rows(buckets(mix(shared.view(np.uint64)), parts), {"k": shared, "v": counts})
 
     names = ("h", "o", "k", "v", "d", "c1", "c2", "n", "s")
 
-    def _rows(bucket: np.ndarray, full: dict, empty: dict) -> pa.RecordBatch:
+    def _rows(bucket: np.ndarray, full: dict) -> pa.RecordBatch:
         made = pack(bucket, full)
         rows = made.num_rows
         blank = pa.array([b""] * rows, pa.binary())
@@ -126,7 +126,7 @@ def _survivors(docs: DataFrame, n: int, threshold: Fraction, share: float, work:
         return pa.RecordBatch.from_arrays([made.column(0), *(have.get(c, blank) for c in names)], ["bucket", *names])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = unpack(batches, **dict.fromkeys(names, np.int64))
+        e = unpack(batches, **dict.fromkeys(names, np.int64) | {"h": np.uint32})
         order, group = groups(e["h"], e["o"])
         h, o = e["h"][order], e["o"][order]
         new = np.ones(len(h), bool)
@@ -319,7 +319,7 @@ def _verify(threshold: Fraction):
     return block
 
 
-def link_documents(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(3, 4), share: float = 0.375, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(3, 4), share: float = 1 / 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links (documents that it links with).
 
     share: the part of each set that the first step exchanges; it must exceed 1 - threshold to
