@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import integers, slices, text_column
 from .kernel import NOT_SPACE, mix, spans, word_hashes
 
-POSITIVES, UNLABELLED = 12_000, 16_000
+POSITIVES, UNLABELLED = 8_000, 12_000
 _BYTES = 2 << 20
 _BIGRAMS = 256
 
@@ -108,10 +108,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     Where the bracket falls below zero its gradient is turned round, so that the risk of the
     negative class cannot be fitted to less than nothing.
     """
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p = np.clip((positive - mean) / scale, -8, 8).astype(np.float32)
-    u = np.clip((unlabelled - mean) / scale, -8, 8).astype(np.float32)
+    n = len(positive) + len(unlabelled)
+    mean = (positive.sum(0, np.float64) + unlabelled.sum(0, np.float64)) / n
+    spread = sum(((x - mean.astype(np.float32)) ** 2).sum(0, np.float64) for x in (positive, unlabelled))
+    mean, scale = mean.astype(np.float32), (np.sqrt(spread / n) + 1e-3).astype(np.float32)
+    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     w, b = np.zeros(p.shape[1], np.float64), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
@@ -128,7 +129,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Model(mean.astype(np.float32), scale.astype(np.float32), w.astype(np.float32), float(b), prior)
+    return Model(mean, scale, w.astype(np.float32), float(b), prior)
 
 
 def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
@@ -181,9 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     ]
     # Broadcast: at most positives + unlabelled ids.
     sample = text.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    rows = _vectors(sample.select("text", "y")).limit(2 * (positives + unlabelled)).collect()
-    y = np.array([r.y for r in rows])
-    x = np.stack([np.frombuffer(r.x, np.float32) for r in rows]) if rows else np.empty((0, N_FEATURES), np.float32)
+    rows = _vectors(sample.select("text", "y")).limit(2 * (positives + unlabelled)).toArrow()
+    y = rows.column("y").to_numpy()
+    x = np.concatenate([np.empty((0, N_FEATURES), np.float32), *(np.frombuffer(text_column(b, "x")[0].tobytes(), np.float32).reshape(-1, N_FEATURES) for b in rows.to_batches())])
+    del rows
     if not (y == 1).any() or not (y == -1).any():
         return None
     # The prior is estimated on trusted labels of both kinds; with one kind only, the labelled
