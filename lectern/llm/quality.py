@@ -43,7 +43,7 @@ def _classes() -> np.ndarray:
 
 _CLASS = _classes()
 _N_CLASS = int(_CLASS.max()) + 1
-N_FEATURES = 2 * _N_CLASS + _BIGRAMS + 8
+N_FEATURES = 2 * _N_CLASS + _BIGRAMS + 10
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -72,6 +72,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     marked = (last < 128) & ~np.isin(last, np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ,.", np.uint8))
     upper = (data[start] >= 65) & (data[start] <= 90) if len(start) else np.empty(0, bool)
     mean = np.bincount(owner, length, n) / total
+    again = np.zeros(len(h), bool)  # a word that follows itself
+    again[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
+    echo = np.bincount(owner, again, n) / total
     stats = np.stack(
         [
             np.log1p(words),
@@ -82,6 +85,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             np.bincount(owner, upper, n) / total,
             np.log1p(size),
             (words == 0).astype(float),
+            echo,
+            np.sqrt(echo),
         ],
         1,
     )
