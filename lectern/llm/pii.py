@@ -92,21 +92,22 @@ def feistel(value: Column, alphabet: str, key: str, tweak: str, undo: bool = Fal
     return F.aggregate(rounds, start, back if undo else forth, lambda a: F.concat(a["l"], a["r"]))
 
 
-def feistel_number(value: Column, a: int, b: int, key: str, tweak: str, undo: bool = False) -> Column:
+def feistel_number(value: Column, a: int | Column, b: int | Column, key: str, tweak: str, undo: bool = False) -> Column:
     """A keyed permutation of the numbers below a * b."""
-    start = F.struct(F.floor(value / b).cast("long").alias("x"), F.pmod(value, F.lit(b)).cast("long").alias("y"))
+    a, b = (x if isinstance(x, Column) else F.lit(x) for x in (a, b))
+    start = F.struct(F.floor(value / b).cast("long").alias("x"), F.pmod(value, b).cast("long").alias("y"))
 
-    def noise(i: Column, other: Column, size: int) -> Column:
-        return F.pmod(F.conv(_at(_stream(key, tweak, i, other.cast("string")), 1, 12), 16, 10).cast("long"), F.lit(size))
+    def noise(i: Column, other: Column, size: Column) -> Column:
+        return F.pmod(F.conv(_at(_stream(key, tweak, i, other.cast("string")), 1, 12), 16, 10).cast("long"), size)
 
     def step(s: Column, i: Column) -> Column:
         if undo:
-            y = F.pmod(s["y"] - noise(i + 100, s["x"], b), F.lit(b)).cast("long")
+            y = F.pmod(s["y"] - noise(i + 100, s["x"], b), b).cast("long")
             # The lambda variable y would be expanded twice; the struct keeps it once.
             inner = F.struct(s["x"].alias("x"), y.alias("y"))
-            return F.transform(F.array(inner), lambda t: F.struct(F.pmod(t["x"] - noise(i, t["y"], a), F.lit(a)).cast("long").alias("x"), t["y"].alias("y")))[0]
-        inner = F.struct(F.pmod(s["x"] + noise(i, s["y"], a), F.lit(a)).cast("long").alias("x"), s["y"].alias("y"))
-        return F.transform(F.array(inner), lambda t: F.struct(t["x"].alias("x"), F.pmod(t["y"] + noise(i + 100, t["x"], b), F.lit(b)).cast("long").alias("y")))[0]
+            return F.transform(F.array(inner), lambda t: F.struct(F.pmod(t["x"] - noise(i, t["y"], a), a).cast("long").alias("x"), t["y"].alias("y")))[0]
+        inner = F.struct(F.pmod(s["x"] + noise(i, s["y"], a), a).cast("long").alias("x"), s["y"].alias("y"))
+        return F.transform(F.array(inner), lambda t: F.struct(t["x"].alias("x"), F.pmod(t["y"] + noise(i + 100, t["x"], b), b).cast("long").alias("y")))[0]
 
     rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if undo else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     return F.aggregate(rounds, start, step, lambda s: s["x"] * b + s["y"])
@@ -182,13 +183,26 @@ def _iban(m: Column, key: str, undo: bool) -> Column:
 
 
 def _ip(m: Column, key: str, undo: bool) -> Column:
+    """Octets keep their number of digits: each is a digit of a number in mixed radix."""
+
+    def radix(x: Column) -> Column:
+        return F.element_at(F.array(F.lit(10), F.lit(90), F.lit(156)), F.length(x)).cast("long")
+
+    def low(x: Column) -> Column:
+        return F.element_at(F.array(F.lit(0), F.lit(10), F.lit(100)), F.length(x)).cast("long")
+
     def done(p: Column) -> Column:
-        part = [p[k].cast("long") for k in range(4)]
-        number = ((part[0] * 256 + part[1]) * 256 + part[2]) * 256 + part[3]
-        fine = F.forall(p, lambda x: (x.cast("int") <= 255) & ((F.length(x) == 1) | ~x.startswith("0")))
-        octet = lambda n, k: F.pmod(F.shiftright(n, 8 * k), F.lit(256)).cast("string")
-        new = _once(feistel_number(number, 65536, 65536, key, "ip", undo), lambda n: F.concat_ws(".", *(octet(n, k) for k in (3, 2, 1, 0))))
-        return F.when(fine, new).otherwise(m)
+        size, base = [radix(p[k]) for k in range(4)], [low(p[k]) for k in range(4)]
+        digit = [p[k].cast("long") - base[k] for k in range(4)]
+        number = ((digit[0] * size[1] + digit[1]) * size[2] + digit[2]) * size[3] + digit[3]
+        fine = F.forall(p, lambda x: F.length(x).between(1, 3) & (x.cast("int") <= 255) & ((F.length(x) == 1) | ~x.startswith("0")))
+        moved = feistel_number(number, size[0] * size[1], size[2] * size[3], key, "ip", undo)
+
+        def write(n: Column) -> Column:
+            parts = [F.floor(n / (size[1] * size[2] * size[3])), F.pmod(F.floor(n / (size[2] * size[3])), size[1]), F.pmod(F.floor(n / size[3]), size[2]), F.pmod(n, size[3])]
+            return F.concat_ws(".", *((d.cast("long") + b).cast("string") for d, b in zip(parts, base)))
+
+        return F.when(fine, _once(moved, write)).otherwise(m)
 
     return _once(F.split(m, "\\."), done)
 
@@ -262,9 +276,12 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     swap = F.transform(candidates, lambda m: F.struct(pseudonym(m, key, undo).alias("new"), m.alias("old"), _kind(m).alias("kind")))
     # Most texts hold neither a digit, an @ nor a label, and stop at this test.
     swap = F.when(text.rlike("[0-9@]|(?i:key|token|secret|pass|pwd)"), swap).otherwise(F.array().cast("array<struct<new:string,old:string,kind:string>>"))
-    marked = docs.withColumn("_swap", swap)
-    done = F.col("_swap")
+    held = "_swap"
+    while held in docs.columns:
+        held += "_"
+    marked = docs.withColumn(held, swap)
+    done = F.col(held)
     pieces = F.split(text, PATTERN, -1)
     joined = F.array_join(F.zip_with(pieces, F.transform(done, lambda s: s["new"]), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     kinds = F.transform(F.filter(done, lambda s: s["new"] != s["old"]), lambda s: s["kind"])
-    return marked.withColumns({text_col: F.when(F.size(done) > 0, joined).otherwise(text), found_col: F.coalesce(kinds, F.array().cast("array<string>"))}).drop("_swap")
+    return marked.withColumns({text_col: F.when(F.size(done) > 0, joined).otherwise(text), found_col: F.coalesce(kinds, F.array().cast("array<string>"))}).drop(held)
