@@ -99,3 +99,11 @@ def json_average(value: Column) -> Column:
     total = F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a + F.when(x >= 0, x).otherwise(0))
     scalar = F.when((F.schema_of_variant(value) == "BIGINT") & (whole >= 0), whole.cast("double"))
     return F.coalesce(scalar, F.when(F.size(many) > 0, total / F.size(many)))
+
+
+def predict_swap(doc_tokens: Column, question_tokens: Column, context: Column, bandwidth: Column, prefill: Column, decode: Column, answer_tokens: Column, overhead: Column, samples: Column) -> Column:
+    """(predicted_swap_ms, predicted_raw_ms, chose_swap), or null without an answered call."""
+    per_token = F.octet_length(F.to_json(context)) / F.greatest(F.size(context), F.lit(1))
+    swap, raw = swap_cost(doc_tokens, question_tokens, per_token, bandwidth, prefill, decode, answer_tokens, overhead)
+    decision = F.struct(swap.alias("predicted_swap_ms"), raw.alias("predicted_raw_ms"), (swap < raw).alias("chose_swap"))
+    return F.when((samples > 0) & context.isNotNull(), decision)

@@ -58,3 +58,13 @@ def append_only(new: DataFrame, last: DataFrame, *keys: str, least: int = PREFIX
 
 def hit_rate(log: DataFrame, *by: str) -> DataFrame:
     return log.groupBy(*by).agg(F.count("*").alias("lookups"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").cast("double")).alias("hit_rate"))
+
+
+def upsert(table: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
+    """The table with the rows of new in place of those with equal keys (null keys are equal)."""
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    both = same[0]
+    for c in same[1:]:
+        both = both & c
+    kept = table.alias("a").join(new.select(*keys).distinct().alias("b"), both, "left_anti")
+    return kept.unionByName(new)

@@ -18,6 +18,12 @@ from pyspark.sql import functions as F
 _made: list[tuple[SparkSession, str]] = []
 
 
+def steady(spark: SparkSession) -> SparkSession:
+    """Unions that keep their sides' partitioning fail where AQE has coalesced the sides apart."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from the session; a private one where unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

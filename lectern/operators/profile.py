@@ -29,3 +29,23 @@ def running_average(rows: DataFrame, key: str, value: Column, *order: Column | s
     late = F.pow(F.lit(keep), F.greatest(F.col("_n") - F.greatest(F.col("_k"), F.lit(window + 1)), F.lit(0)))
     weight = late / F.when(F.col("_k") > window + 1, F.lit(window + 1)).otherwise(F.least(F.col("_n"), F.lit(window + 1)))
     return placed.groupBy(key).agg(F.sum(F.col("_x") * weight).alias(name), F.count("*").alias("n"))
+
+
+def profiles(calls: DataFrame, key: str, *order: str) -> DataFrame:
+    """Speed profiles from a call log (key, label, counts and milliseconds).
+
+    Priming and reducing calls give prefill and decode speed; answering calls give answer length
+    and overhead, but only once a profile exists. A key without an ingest has no profile.
+    """
+    ingest = calls.where(F.col("label").isin("prime", "prefix-reprime", "reduce"))
+    speed = lambda n, ms: F.col(n).cast("double") / F.greatest(F.col(ms) / 1000, F.lit(1e-9))
+    a = running_average(ingest, key, speed("prompt_eval_count", "prompt_eval_ms"), *order, name="prefill_tps").withColumnRenamed("n", "ingest_samples")
+    b = running_average(ingest, key, speed("eval_count", "eval_ms"), *order, name="eval_tps").drop("n")
+    first = F.min(F.when(F.col("label") != "answer", F.struct(*order))).over(W.partitionBy(key))
+    later = calls.withColumn("_first", first).where((F.col("label") == "answer") & (F.struct(*order) > F.col("_first")))
+    c = running_average(later, key, F.col("eval_count"), *order, name="expected_answer_tokens").withColumnRenamed("n", "swap_samples")
+    over = F.greatest(F.lit(0.0), F.col("wall_ms") - F.col("prompt_eval_ms") - F.col("eval_ms"))
+    d = running_average(later, key, over, *order, name="fixed_overhead_ms").drop("n")
+    zero = F.lit(0)
+    out = a.join(b, key).join(c, key, "left").join(d, key, "left")
+    return out.select(key, "prefill_tps", "eval_tps", F.coalesce("expected_answer_tokens", F.lit(0.0)).alias("expected_answer_tokens"), F.coalesce("fixed_overhead_ms", F.lit(0.0)).alias("fixed_overhead_ms"), "ingest_samples", F.coalesce("swap_samples", zero).cast("bigint").alias("swap_samples"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import bounded_split, document_budget, relevant, utrim
 
+from .ordered import steady
+
 SEPARATOR = "\n---\n"
 NUM_PREDICT = 1536
 
@@ -114,6 +116,26 @@ def answer_all(groups: DataFrame, extractions: DataFrame, group: str, *order: st
     return groups.select(group).distinct().join(reduce_phase(extractions, group, *order), group, "left").select(group, F.coalesce("facts", F.lit("")).alias("facts"), F.coalesce("n_facts", F.lit(0).cast("bigint")).alias("n_facts"))
 
 
+def recursive_reduce(facts: DataFrame, group: str, budget: int, extract, text: str = "facts", most: int = 8) -> DataFrame:
+    """Map and reduce again while a group's joined facts exceed the budget: group, facts, rounds.
+
+    Rounds end when everything fits, nothing shrinks any more, or after `most`.
+    """
+    steady(facts.sparkSession)
+    now = facts.select(group, F.col(text).alias("facts"), F.lit(0).cast("bigint").alias("rounds"))
+    for k in range(1, most + 1):
+        long = now.where(F.char_length("facts") > budget)
+        if long.isEmpty():
+            break
+        again = reduce_phase(map_phase(long, budget, extract, group, text="facts"), group, "chunk_index")
+        smaller = long.join(again.select(group, F.col("facts").alias("_less")), group).where(F.char_length("_less") < F.char_length("facts"))
+        smaller = smaller.select(group, F.col("_less").alias("facts"), F.lit(k).cast("bigint").alias("rounds"))
+        if smaller.isEmpty():
+            break
+        now = now.join(smaller.select(group), group, "left_anti").unionByName(smaller)
+    return now
+
+
 def turn_labels(turns: DataFrame, session: str, order: str, mode: str = "swap") -> DataFrame:
     """Calls of each question of a session: the first primes a context, later ones reuse it (not in raw mode)."""
     place = F.row_number().over(W.partitionBy(session).orderBy(order)).cast("bigint")

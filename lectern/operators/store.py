@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ordered import number_rows
+from .ordered import number_rows, steady
 
 CHUNKS = "chunk_id long, doc_path string, chunk_index long, page int, text string, embedding array<float>"
 META = "doc_path string, mtime long, size long, last_ingested_at long"
@@ -64,7 +64,7 @@ class Store:
     """A store under a path that Spark's file systems reach."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path = steady(spark), path.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -422,6 +422,20 @@ def budget_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.route_by_budget(table(spark, sf_dir, "documents"), "source", T.token_estimate(F.col("text")), CONTEXT * 8, "doc_id").select("doc_id", "route", "inside")
 
 
+@query(f"{_MAP}, f AS (SELECT source, string_agg(excerpt, chr(10) || '---' || chr(10) ORDER BY doc_id, chunk_index) AS facts FROM kept GROUP BY source) SELECT source, CAST(0 AS BIGINT) AS rounds, sha256(facts) AS answer_hash FROM f")
+def recursive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Within this budget every source fits at once; tests/ cover the rounds.
+    facts = qa.reduce_phase(_extractions(spark, sf_dir), "source", "doc_id", "chunk_index")
+    done = qa.recursive_reduce(facts, "source", 2_000_000_000, lambda p: qa.extract_sentence(p, WORD))
+    return done.select("source", "rounds", content_hash(F.col("facts")).alias("answer_hash"))
+
+
+@query(r"SELECT conv_id, turn, regexp_matches(lower(t), ',? and (what|who|when|where|why|how|its|their)\b') AS compound FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') || CASE WHEN turn % 2 = 0 THEN ', and what else' ELSE '' END AS t FROM conversations)")
+def query_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.when(F.col("turn") % 2 == 0, ", and what else").otherwise(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_compound(text).alias("compound"))
+
+
 # --- speed and cost ------------------------------------------------------------------------
 
 _FOLD = """
@@ -462,6 +476,29 @@ def swap_vs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modes.select("mode", "doc_id", F.round("swap_ms", 4).alias("swap_ms"), F.round("raw_ms", 4).alias("raw_ms"), "chose_swap", M.resolution(F.col("mode"), F.col("cached"), F.col("chose_swap")).alias("resolution"))
 
 
+def _calls(events: DataFrame) -> DataFrame:
+    """Events as a call log: types are labels, values are times."""
+    label = F.when(F.col("event_id") % 3 == 0, "prime").when(F.col("event_id") % 3 == 1, "answer").otherwise("reduce")
+    return events.select("user_id", "ts", "event_id", label.alias("label"), F.lit(900).alias("prompt_eval_count"), F.col("value").alias("prompt_eval_ms"), (F.col("event_id") % 40 + 1).alias("eval_count"), (F.col("value") * 2).alias("eval_ms"), (F.col("value") * 3 + F.col("event_id") % 11 - 5).alias("wall_ms"))
+
+
+def _fold_sql(name: str, source: str, x: str) -> str:
+    return f"""{name}_o AS (SELECT user_id, {x} AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM {source}),
+    {name} AS (SELECT user_id, k, n, CAST(x AS DOUBLE) AS v FROM {name}_o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, o.n, f.v + (o.x - f.v) / (least(f.k, 20) + 1) FROM {name} f JOIN {name}_o o ON o.user_id = f.user_id AND o.k = f.k + 1)"""
+
+
+@query(f"""WITH RECURSIVE ing AS (SELECT * FROM events WHERE event_id % 3 <> 1),
+    fst AS (SELECT user_id, min((ts, event_id)) AS f FROM ing GROUP BY user_id),
+    ans AS (SELECT e.* FROM events e JOIN fst USING (user_id) WHERE e.event_id % 3 = 1 AND (e.ts, e.event_id) > f),
+    {_fold_sql('a', 'ing', '900 / greatest(value / 1000, 1e-9)')}, {_fold_sql('b', 'ing', '(event_id % 40 + 1) / greatest(value * 2 / 1000, 1e-9)')},
+    {_fold_sql('c', 'ans', 'event_id % 40 + 1')}, {_fold_sql('d', 'ans', 'greatest(0, value * 3 + event_id % 11 - 5 - value - value * 2)')}
+    SELECT a.user_id, round(a.v, 3) AS prefill_tps, round(b.v, 3) AS eval_tps, round(coalesce(c.v, 0), 6) AS expected_answer_tokens, round(coalesce(d.v, 0), 6) AS fixed_overhead_ms, a.n AS ingest_samples, coalesce(c.n, 0) AS swap_samples
+    FROM a JOIN b ON b.user_id = a.user_id AND b.k = b.n LEFT JOIN c ON c.user_id = a.user_id AND c.k = c.n LEFT JOIN d ON d.user_id = a.user_id AND d.k = d.n WHERE a.k = a.n""")
+def speed_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = profile.profiles(_calls(table(spark, sf_dir, "events")), "user_id", "ts", "event_id")
+    return made.withColumns({c: F.round(c, n) for c, n in (("prefill_tps", 3), ("eval_tps", 3), ("expected_answer_tokens", 6), ("fixed_overhead_ms", 6))})
+
+
 @query("""WITH d AS (SELECT user_id, count(*) AS total, count(*) FILTER (value > 20) AS reused FROM events GROUP BY user_id)
     SELECT user_id, CASE WHEN total = 0 OR reused = 0 THEN 'cold' WHEN total = reused THEN 'adaptive-reuse' ELSE 'adaptive-reuse-partial (' || reused || '/' || total || ' chunks)' END AS tier FROM d""")
 def cache_tier_label(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,15 @@
+"""Schemas of the stored tables."""
+
+from lectern.operators.store import CHUNKS, META
+from lectern.operators.workspaces import SCHEMA as WORKSPACES
+
+CONVERTED = "struct<texts: array<struct<text: string, prov: array<struct<page_no: int>>>>>"
+PAGE_ITEMS = "doc_id string, pos int, page int, text string"
+PARSE_CACHE = "file_hash string, text string, bytes long, last_access timestamp"
+CONTEXT_CACHE = "model string, context_length int, content_hash string, context array<long>, bytes long, last_access timestamp"
+LAST_DOCUMENT = "model string, context_length int, doc_hash string, text string"
+PROFILES = "model string, context_length int, prefill_tps double, eval_tps double, expected_answer_tokens double, fixed_overhead_ms double, ingest_samples long, swap_samples long"
+CALL_LOG = "corpus string, question int, label string, prompt_eval_count long, prompt_eval_ms double, eval_count long, eval_ms double, wall_ms double"
+GENERATED = "response string, thinking string, context array<long>, prompt_eval_count long, prompt_eval_duration long, eval_count long, eval_duration long, total_duration long"
+
+__all__ = ["CALL_LOG", "CHUNKS", "CONTEXT_CACHE", "CONVERTED", "GENERATED", "LAST_DOCUMENT", "META", "PAGE_ITEMS", "PARSE_CACHE", "PROFILES", "WORKSPACES"]

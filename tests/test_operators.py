@@ -239,3 +239,31 @@ def test_html(spark):
     html = "<html><head><title>T &amp; U</title><style>p{}</style><script>var t='</p>';</script></head><body><!-- no <p>x</p> --><p>a <b>b</b>\n c</p><ul><li>x</li><li> </li></ul>&lt;y&gt;</body></html>"
     df = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
     assert [tuple(r) for r in page_items(df).orderBy("pos").collect()] == [(1, 0, "T & U"), (1, 1, "a b c"), (1, 2, "x"), (1, 3, "<y>")]
+
+
+def test_upsert(spark):
+    old = spark.createDataFrame([("m", 1, "a"), ("m", None, "b"), ("n", 1, "c")], "model string, ctx int, v string")
+    new = spark.createDataFrame([("m", None, "z"), ("o", 2, "y")], "model string, ctx int, v string")
+    assert {tuple(r) for r in caches.upsert(old, new, "model", "ctx").collect()} == {("m", 1, "a"), ("n", 1, "c"), ("m", None, "z"), ("o", 2, "y")}
+
+
+def test_profile_of_a_call_log(spark):
+    rows = [("k", 0, "answer", 9, 1.0, 9, 1.0, 9.0), ("k", 1, "prime", 1000, 1000.0, 10, 1000.0, 2000.0), ("k", 2, "answer", 5, 10.0, 12, 20.0, 70.0), ("k", 3, "reduce", 2000, 1000.0, 10, 500.0, 0.0), ("x", 0, "answer", 1, 1.0, 1, 1.0, 1.0)]
+    log = spark.createDataFrame(rows, "key string, seq int, label string, prompt_eval_count long, prompt_eval_ms double, eval_count long, eval_ms double, wall_ms double")
+    assert [tuple(r) for r in profile.profiles(log, "key", "seq").collect()] == [("k", 1500.0, 15.0, 12.0, 40.0, 2, 1)]
+
+
+def test_swap_prediction(spark):
+    from lectern.functions import models as M
+
+    n = lambda x: F.lit(float(x))
+    context = F.array(*(F.lit(k) for k in range(4))).cast("array<bigint>")
+    ask = lambda c, s: spark.range(1).select(M.predict_swap(n(500), n(2), c, n(1e9), n(1), n(10), n(5), n(1), F.lit(s)).alias("d")).first().d
+    assert ask(context, 1).chose_swap and ask(context, 0) is None and ask(F.lit(None).cast("array<bigint>"), 1) is None
+
+
+def test_recursive_reduce(spark):
+    long = ". ".join(f"fact {k} that counts {'x' * (k % 7)}" for k in range(60))
+    df = spark.createDataFrame([("a", long), ("b", "short")], "source string, facts string")
+    done = {r.source: r for r in qa.recursive_reduce(df, "source", 200, lambda p: qa.extract_sentence(p, "that")).collect()}
+    assert done["b"].rounds == 0 and done["a"].rounds >= 1 and len(done["a"].facts) < len(long)
