@@ -32,5 +32,7 @@ def connected_components(edges: DataFrame, work: Workspace, most: int = 60) -> D
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"components didn't settle in {most} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

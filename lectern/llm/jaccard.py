@@ -32,7 +32,7 @@ from .components import connected_components
 from .kernel import NOT_SPACE, mix, ragged, spans, windows, word_hashes
 from .packed import bloom, bloom_slots, buckets, exchange, groups, may_hold, pack, ragged_binary, schema, unpack
 
-_BYTES = 8 << 20
+_BYTES = 3 << 20
 _NULL = np.iinfo(np.int64).min
 #: Classes of one block of a candidate cluster.
 BLOCK = 512
@@ -157,7 +157,7 @@ def _survivors(docs: DataFrame, n: int, threshold: Fraction, share: float, work:
 
 
 def _orders(docs: DataFrame, kept: DataFrame, n: int, threshold: Fraction, parts: int) -> DataFrame:
-    """For each remaining class its shared n-grams and its prefixes under every order."""
+    """For each remaining class its shared n-grams and, as places among them, its prefixes under every order."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom(kept, "any"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,8 @@ def _orders(docs: DataFrame, kept: DataFrame, n: int, threshold: Fraction, parts
 
     ids = F.coalesce("doc_id", F.lit(_NULL)).alias("any")
     found = docs.select(ids, "text").select("*", *bloom_slots("any")).mapInArrow(sets, "any long, c1 long, c2 long, grams binary")
-    found = found.join(kept, ["any", "c1", "c2"]).groupBy("c1", "n", "copies").agg(F.first("grams").alias("grams"))
+    # By class alone, so that the sets travel once; equal classes have equal sets.
+    found = found.groupBy("c1").agg(F.first("grams").alias("grams")).join(kept.select("c1", "n", "copies"), "c1")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "grams", _BYTES):
@@ -211,7 +212,7 @@ def _orders(docs: DataFrame, kept: DataFrame, n: int, threshold: Fraction, parts
             for i, seed in enumerate(ORDERS):
                 # The second order ranks frequencies by their magnitude only, the third mixes both.
                 rank = df if i == 0 else np.log2(df).astype(np.int64) >> (i - 1)
-                out[f"p{i}"].append(grams[np.lexsort((mix(grams ^ np.uint64(seed)), rank))[:slots]].tobytes())
+                out[f"p{i}"].append(np.lexsort((mix(grams ^ np.uint64(seed)), rank))[:slots].astype(np.uint32).tobytes())
             if len(out["c1"]) == 2000:
                 yield _classes(out)
                 out = {c: [] for c in names}
@@ -229,9 +230,12 @@ def _stars(classes: DataFrame, parts: int) -> DataFrame:
     """Edges from the holders of a prefix n-gram to the smallest of them."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "p0", _BYTES):
+        for batch in slices(batches, "grams", _BYTES):
             raw, offs = text_column(batch, "p0")
-            h, k = np.frombuffer(raw.tobytes(), np.uint64), np.repeat(_longs(batch, "c1"), np.diff(offs) // 8)
+            grams, starts = text_column(batch, "grams")
+            per = np.diff(offs) // 4
+            h = np.frombuffer(grams.tobytes(), np.uint64)[np.frombuffer(raw.tobytes(), np.uint32) + np.repeat(starts[:-1] // 8, per)]
+            k = np.repeat(_longs(batch, "c1"), per)
             order, group = groups(h, k)
             new = np.ones(len(h), bool)
             new[1:] = h[order][1:] != h[order][:-1]
@@ -257,16 +261,15 @@ def _stars(classes: DataFrame, parts: int) -> DataFrame:
         pairs = np.unique(np.concatenate([np.stack([k, lead], 1), np.stack([e["a"], e["b"]], 1)]), axis=0)
         yield _table(a=pairs[:, 0], b=pairs[:, 1])
 
-    return exchange(classes.select("c1", "p0").mapInArrow(ask, schema("h", "k", "a", "b")), parts).mapInArrow(join, "a long, b long")
+    return exchange(classes.select("c1", "p0", "grams").mapInArrow(ask, schema("h", "k", "a", "b")), parts).mapInArrow(join, "a long, b long")
 
 
 class _Lists:
     """Ragged lists of n-grams under local numbers, for counting against a marked set."""
 
-    def __init__(self, blobs: list[bytes], universe: np.ndarray):
-        self.size = np.array([len(b) // 8 for b in blobs], np.int64)
-        self.first = np.concatenate(([0], np.cumsum(self.size)))
-        self.flat = np.searchsorted(universe, np.frombuffer(b"".join(blobs), np.uint64))
+    def __init__(self, size: np.ndarray, flat: np.ndarray):
+        self.size, self.flat = size, flat
+        self.first = np.concatenate(([0], np.cumsum(size)))
 
     def row(self, i: int) -> np.ndarray:
         return self.flat[self.first[i] : self.first[i + 1]]
@@ -288,8 +291,13 @@ def _verify(threshold: Fraction):
         ids, n, copies, blk = (np.array(col[c], np.int64) for c in ("c1", "n", "copies", "blk"))
         cross = col["i"][0] != col["j"][0]
         universe = np.unique(np.frombuffer(b"".join(col["grams"]), np.uint64))
-        whole = _Lists(col["grams"], universe)
-        prefix = [_Lists(col[f"p{i}"], universe) for i in range(len(ORDERS))]
+        sizes = np.array([len(b) // 8 for b in col["grams"]], np.int64)
+        whole = _Lists(sizes, np.searchsorted(universe, np.frombuffer(b"".join(col["grams"]), np.uint64)))
+        prefix = []
+        for i in range(len(ORDERS)):
+            per = np.array([len(b) // 4 for b in col[f"p{i}"]], np.int64)
+            at = np.frombuffer(b"".join(col[f"p{i}"]), np.uint32) + np.repeat(whole.first[:-1], per)
+            prefix.append(_Lists(per, whole.flat[at]))
         order = np.argsort(n, kind="stable")
         root, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
         mark = np.zeros(len(universe), bool)
