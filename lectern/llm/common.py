@@ -44,6 +44,8 @@ class Workspace:
     """Tables that one operator call writes to the shared folder to cut its lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
+        # Unions that keep their sides' partitioning fail where AQE has coalesced the sides apart.
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         _written.append((spark, self.root))
 
