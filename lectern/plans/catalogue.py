@@ -430,7 +430,7 @@ def recursive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("source", "rounds", content_hash(F.col("facts")).alias("answer_hash"))
 
 
-@query(r"SELECT conv_id, turn, regexp_matches(lower(t), ',? and (what|who|when|where|why|how|its|their)\b') AS compound FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') || CASE WHEN turn % 2 = 0 THEN ', and what else' ELSE '' END AS t FROM conversations)")
+@query(r"SELECT conv_id, turn, regexp_matches(lower(t), '\?.*\S.*\?|,? and (what|who|when|where|why|how|its|their)\b|\bof the .* (that|which|whose)\b') AS compound FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') || CASE WHEN turn % 2 = 0 THEN ', and what else' ELSE '' END AS t FROM conversations)")
 def query_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.when(F.col("turn") % 2 == 0, ", and what else").otherwise(""))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_compound(text).alias("compound"))
