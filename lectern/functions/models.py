@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The usable share of free memory, bytes beside weights and cache, the least window,
+# bytes of a cached number, the residency to warn below, the modes, and the observations after
+# which a running average stops getting slower.
 SAFETY, OVERHEAD_BYTES, LEAST_CONTEXT, DTYPE_BYTES = 0.85, 1_000_000_000, 4096, 2
 OFFLOAD_BELOW = 0.97
 MODES = ("swap", "raw", "adaptive")
-#: Observations after which a running average stops getting slower.
 WINDOW = 20
 
 

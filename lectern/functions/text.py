@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters per token of the size estimates.
+# Characters per token of the size estimates, the share of a context window that
+# prompt, question and answer take, and the least words of a question.
 CHARS_PER_TOKEN = 4
-#: Share of a context window that prompt, question and answer take.
 OVERHEAD = 0.2
 MIN_QUESTION_WORDS = 3
 DISPLAY_CHARS = 80

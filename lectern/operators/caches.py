@@ -10,6 +10,7 @@ from lectern.functions.text import common_prefix
 
 from .ordered import running_sum
 
+# Bytes of the parse cache, and what a text must share with the last one.
 PARSE_CAPACITY = 10 << 30
 PREFIX_CHARS, PREFIX_SHARE = 2000, 0.5
 

@@ -16,6 +16,7 @@ from lectern.functions.text import bounded_split, document_budget, relevant, utr
 
 from .ordered import steady
 
+# What joins facts, and the longest generated answer in tokens.
 SEPARATOR = "\n---\n"
 NUM_PREDICT = 1536
 
