@@ -95,3 +95,23 @@ def may_hold(bitmap: np.ndarray, *slots: np.ndarray) -> np.ndarray:
     for s in slots:
         ok &= (bitmap[s >> 6] >> (s & 63)) & 1 == 1
     return ok
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id surely isn't among the ids, and those whose id may be: only these need a join.
+
+    Both have the columns of docs; a row goes to exactly one side, whatever its other values.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(ids, column))
+    slots = bloom_slots(column)
+
+    def side(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns[-2:])
+                kept = batch.filter(pa.array(may_hold(sent.value, a, b) == wanted))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-2], kept.schema.names[:-2])
+
+        return docs.select("*", *slots).mapInArrow(run, docs.schema)
+
+    return side(False), side(True)
