@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm.common import Workspace
 from lectern.llm.decontaminate import decontaminate
 from lectern.llm.jaccard import link_documents
+from lectern.llm.packed import split_by_ids
 from lectern.llm.pieces import round_trip
 from lectern.llm.pii import pseudonymise
 from lectern.llm.quality import keep_good
@@ -32,17 +33,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = Workspace(spark, "groups").save(link_documents(docs))
     others = found.where("doc_id <> component_id").select("doc_id").distinct()
     twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(others, "doc_id", "left_anti")
-    # Repeated rows share an id; only they are compared once more.
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    # Texts whose id is in no decision stay where they are.
+    untouched, named = split_by_ids(docs, others.unionByName(twice), "doc_id")
+    kept = named.join(others, "doc_id", "left_anti")
+    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])  # repeated rows share an id
+    decided = kept.join(twice, "doc_id", "left_anti").unionByName(once)
+    return untouched.unionByName(decided.select(*docs.columns))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that hold a benchmark window go."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = Workspace(spark, "hits").save(found.where("contaminated").select("doc_id").distinct())
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    untouched, named = split_by_ids(docs, hit, "doc_id")
+    return untouched.unionByName(named.join(hit, "doc_id", "left_anti").select(*docs.columns))
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
