@@ -13,6 +13,7 @@ either table are neither read nor returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,11 @@ from .kernel import ALNUM, positions, spans, word_hashes
 
 INDEX = "shard long, doc_ids array<long>, n_words array<int>, terms binary, counts binary, deltas binary, wide binary"
 MATCHES = "shard long, row int, doc_id long, n_words int, starts array<int>, ends array<int>, items array<string>"
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 #: Benchmark text of one round of the search; larger benchmarks take several rounds over the index.
-ROUND_BYTES = 16 << 20
+ROUND_BYTES = 2 << 20
+#: Different benchmark words that a broadcast may hold (8 bytes each).
+MOST_TERMS = 8_000_000
 
 
 class Phrases:
@@ -46,7 +49,7 @@ class Phrases:
                 short[0, : min(len(ids), window)] = ids[:window]
                 rows.append(np.lib.stride_tricks.sliding_window_view(ids, window) if len(ids) >= window else short)
                 owner += [k] * len(rows[-1])
-        table = np.concatenate(rows) if rows else np.empty((0, window), np.int64)
+        table = np.concatenate(rows).astype(np.int32) if rows else np.empty((0, window), np.int32)
         self.rows, back = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.empty(0, int))
         self.owners: list[list[str]] = [[] for _ in range(len(self.rows))]
         for w, k in zip(back.ravel().tolist(), owner):
@@ -147,7 +150,7 @@ def search_index(index: DataFrame, phrases: Phrases, terms: np.ndarray) -> DataF
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ph, where, n_terms = sent.value
-        rows = np.where(ph.rows >= 0, where[ph.rows] if len(where) else ph.rows, -1)
+        rows = np.where(ph.rows >= 0, where[ph.rows] if len(where) else ph.rows, -1).astype(np.int64)
         for batch in batches:
             for r in batch.to_pylist():
                 t, bounds, pos = _decode(r["terms"], r["counts"], r["deltas"], r["wide"])
@@ -210,15 +213,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     n_hit, n_items, items_sha256, contaminated, items, starts, ends (merged word ranges).
     """
     work = Workspace(docs.sparkSession, "postings")
-    rounds = [Phrases(g, window) for g in _rounds(benchmark, item_col, item_text, round_bytes)] or [Phrases([], window)]
-    terms = np.unique(np.concatenate([p.terms for p in rounds]))
+    groups = lambda: _rounds(benchmark, item_col, item_text, round_bytes)
+    terms, rounds = np.empty(0, np.uint64), 0
+    for group in groups():
+        terms, rounds = np.union1d(terms, Phrases(group, window).terms), rounds + 1
+        if len(terms) > MOST_TERMS:
+            raise ValueError(f"more than {MOST_TERMS} different benchmark words; split the benchmark by items, and unite the ranges that the parts return")
     index = work.save(build_index(docs, terms, id_col, text_col))
-    found = search_index(index, rounds[0], terms)
-    for p in rounds[1:]:
-        found = found.unionByName(search_index(index, p, terms))
-    if len(rounds) > 1:
+    if rounds < 2:
+        found = search_index(index, Phrases(next(groups(), []), window), terms)
+    else:
+        # Written one by one: the driver and the broadcasts hold one round at a time.
+        parts = [work.save(search_index(index, Phrases(g, window), terms)) for g in groups()]
         lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")]
-        found = found.groupBy("shard", "row", "doc_id", "n_words").agg(*lists)
+        found = reduce(DataFrame.unionByName, parts).groupBy("shard", "row", "doc_id", "n_words").agg(*lists)
     ranges = F.array_sort(F.arrays_zip("starts", "ends"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("last"))
     hit = F.when(F.size("starts") == 0, F.lit(0).cast("long")).otherwise(
