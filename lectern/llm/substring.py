@@ -35,7 +35,7 @@ PERFECT = {
     31: (0, 1, 3, 8, 12, 18),
     57: (0, 1, 3, 13, 32, 36, 43, 52),
 }
-_BYTES = 8 << 20
+_BYTES = 3 << 20
 RESULT = "key long, doc_id long, n_words long, n_removed long, kept_sha256 string, starts array<int>, ends array<int>"
 
 
@@ -58,11 +58,15 @@ def _longs(batch: pa.RecordBatch, column: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False)
 
 
-ENTRY = ("h", "g", "k", "p", "f")
+ENTRY = ("h", "x", "g", "k", "p", "f")
 
 
-def _entries(h: np.ndarray, g: np.ndarray, key: np.ndarray, pos: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    """One entry for each different hash (f = 0), and what already repeats inside the batch (f = 1)."""
+def _entries(h: np.ndarray, g: np.ndarray, key: np.ndarray, pos: np.ndarray, n: int, wide: bool) -> Iterator[pa.RecordBatch]:
+    """One entry for each different hash (f = 0), and what already repeats inside the batch (f = 1).
+
+    wide: send whole hashes. Half of one tells the anchors of a bucket apart well enough: two that
+    it confuses only add windows to look at.
+    """
     if not len(h):
         return
     order, group = groups(h, g)
@@ -73,14 +77,15 @@ def _entries(h: np.ndarray, g: np.ndarray, key: np.ndarray, pos: np.ndarray, n:
     at = np.concatenate([lead, sure])
     bucket = np.concatenate([buckets(h[lead], n), buckets(mix(key[sure].view(np.uint64)), n)])
     flag = np.concatenate([np.zeros(len(lead), np.uint8), np.ones(len(sure), np.uint8)])
-    yield pack(bucket, {"h": h[at], "g": g[at], "k": key[at], "p": pos[at].astype(np.uint32), "f": flag})
+    upper = (h[at] >> np.uint64(32)).astype(np.uint32) if wide else np.zeros(len(at), np.uint32)
+    yield pack(bucket, {"h": h[at].astype(np.uint32), "x": upper, "g": g[at], "k": key[at], "p": pos[at].astype(np.uint32), "f": flag})
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Of a bucket's entries those whose hash came from more than one place, packed by document."""
-    e = unpack(batches, h=np.uint64, g=np.uint32, k=np.int64, p=np.uint32, f=np.uint8)
+    e = unpack(batches, h=np.uint32, x=np.uint32, g=np.uint32, k=np.int64, p=np.uint32, f=np.uint8)
     free = np.flatnonzero(e["f"] == 0)
-    order, group = groups(e["h"][free], e["g"][free])
+    order, group = groups(e["h"][free].astype(np.uint64) << np.uint64(32) | e["x"][free], e["g"][free])
     many = free[order[np.bincount(group)[group] > 1]] if len(free) else free
     take = np.concatenate([many, np.flatnonzero(e["f"] == 1)])
     key, pos = e["k"][take], e["p"][take]
@@ -137,7 +142,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
             keep = chosen[inner % period]
             at, row, inner = at[keep], row[keep], inner[keep]
             a = windows(h, at, size)
-            yield from _entries(a, np.zeros(len(a), np.uint32), _longs(batch, "key")[row], inner, n)
+            yield from _entries(a, np.zeros(len(a), np.uint32), _longs(batch, "key")[row], inner, n, False)
 
     hits = work.save(_matches(keyed.select("text", "key").mapInArrow(anchors, schema(*ENTRY)), n))
     sent = docs.sparkSession.sparkContext.broadcast(bloom(hits, "key"))
@@ -172,7 +177,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
             if at:
                 first, row = np.concatenate(at), np.concatenate(key)
                 second = (windows(h, first, window, 29) >> np.uint64(32)).astype(np.uint32)
-                yield from _entries(windows(h, first, window), second, keys[row], first - bounds[row], n)
+                yield from _entries(windows(h, first, window), second, keys[row], first - bounds[row], n, True)
 
     # A document that repeats whole and often comes as one text per row; its windows go out once a batch.
     around = suspect.join(hits, "key").select("key", "text", "at")
