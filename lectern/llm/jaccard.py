@@ -339,7 +339,8 @@ def link_documents(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(3
     rows, kept = _survivors(texts, n, threshold, share, work, parts)
     classes = work.save(_orders(texts, kept, n, threshold, parts))
     clusters = connected_components(_stars(classes, parts), work)
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
+    # Written, so that both sides of the join are plain exchanges and a hot cluster can be split.
+    sizes = work.save(clusters.groupBy("root").agg(F.count("*").alias("size")))
     cut = clusters.join(sizes, "root").select(F.col("node").alias("c1"), F.col("root").alias("cluster"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     cut = cut.withColumn("blk", F.pmod(F.xxhash64("c1", F.lit(5)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -348,8 +349,8 @@ def link_documents(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(3
     named = connected_components(found.select(F.col("c1").alias("a"), F.col("root").alias("b")), work)
     links = found.groupBy("c1").agg(F.sum("links").alias("links"))
     full = rows.where("n > 0").groupBy("c1").agg(F.min(F.when(F.col("doc_id") != _NULL, F.col("doc_id"))).alias("low"), F.count("*").alias("copies"))
-    full = full.join(named.withColumnRenamed("node", "c1"), "c1", "left").join(links, "c1", "left").withColumn("root", F.coalesce("root", "c1"))
-    low = full.groupBy("root").agg(F.min("low").alias("component_id"))
+    full = work.save(full.join(named.withColumnRenamed("node", "c1"), "c1", "left").join(links, "c1", "left").withColumn("root", F.coalesce("root", "c1")))
+    low = work.save(full.groupBy("root").agg(F.min("low").alias("component_id")))
     full = full.join(low, "root").select("c1", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     doc = F.when(F.col("doc_id") != _NULL, F.col("doc_id"))
     single = rows.where("n = 0").select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), doc.alias("component_id"), F.lit(0).cast("long").alias("n_links"))
