@@ -224,7 +224,7 @@ def write_warc(pages: DataFrame, path: str, work: Workspace, least: int = LEAST)
     rows = pages.select("page_id", F.col("url").cast("binary").alias("url"), body).join(revisits, "page_id", "left")
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(slices(batches, "html", 4 << 20)):
+        for k, batch in enumerate(slices(batches, "html", 2 << 20)):
             cols = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "refers_to")}
             first = {str(p): r for p, r in zip(cols["page_id"], cols["refers_to"]) if r is not None}
             heads = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n%sContent-Length: %d\r\n\r\n" % (b"" if p is None else b"X-Page-Id: %d\r\n" % p, len(h)) for p, h in zip(cols["page_id"], cols["html"]))

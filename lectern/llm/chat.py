@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 # Strings that models read as control.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "<unk>", "<pad>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 TEMPLATE = """{% for message in messages %}{{ '<|im_start|>' ~ (message.role | escape_line) ~ '\\n' }}{% if message.role == 'assistant' %}{% generation %}{{ message.text | escape }}{% endgeneration %}{% else %}{{ message.text | escape }}{% endif %}{{ '<|im_end|>' }}
@@ -447,6 +449,7 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object,
 def format_conversations(rows: DataFrame, template: str = TEMPLATE, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, formatted, spans: each conversation rendered, with the ranges to learn from."""
     compile_template(template)  # a faulty template fails here
+    bound_batches(rows.sparkSession)
     cols = [F.col(conv_col).cast("long").alias("conv_id"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), F.col(turn_col).alias("turn")]
     dealt = rows.select(*cols).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
 

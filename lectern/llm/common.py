@@ -40,10 +40,21 @@ def _sweep() -> None:
             return
 
 
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Let no Arrow batch hold more than `size` bytes or one row, on either side of the pipe."""
+    for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+        limit = size if "Bytes" in key else size >> 12
+        now = spark.conf.get(key)
+        now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now)) if "Bytes" in key else int(now)
+        if now <= 0 or now > limit:
+            spark.conf.set(key, str(limit))
+
+
 class Workspace:
     """Tables that one operator call writes to the shared folder to cut its lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         # Unions that keep their sides' partitioning fail where AQE has coalesced the sides apart.
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0

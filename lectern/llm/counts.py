@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_column
+from .common import bound_batches, slices, text_column
 
 #: Entries of the broadcast tier; of one task's summary; of a worker's cache.
 FREQUENT, SUMMARY, CACHE = 1 << 16, 1 << 13, 1 << 18
@@ -101,7 +101,7 @@ def frequent_pretokens(docs: DataFrame, text_col: str = "text", limit: int = FRE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             for t in _texts(batch):
                 seen.update(pretokens(t))
             if len(seen) > 1 << 19:
@@ -116,6 +116,7 @@ def frequent_pretokens(docs: DataFrame, text_col: str = "text", limit: int = FRE
 def token_counts(docs: DataFrame, model: str | None = None, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) for every whole text."""
     spark, path = docs.sparkSession, model or default_model()
+    bound_batches(spark)
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -129,7 +130,7 @@ def token_counts(docs: DataFrame, model: str | None = None, limit: int = 4096, i
         if path not in _workers or _workers[path][0] != key:
             _workers[path] = (key, Lengths(_encoder(path), table.value))
         look = _workers[path][1].__getitem__
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             _, offs = text_column(batch, "text")
             n = np.fromiter((sum(map(look, pretokens(t))) for t in _texts(batch)), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(np.diff(offs)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

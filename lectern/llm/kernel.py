@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_SEGMENT = 2 << 20
+_SEGMENT = 1 << 19
 
 
 def _weights(seed: int) -> np.ndarray:

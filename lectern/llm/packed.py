@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_parts
+from .common import bound_batches, utf8_parts
 
 
 def buckets(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -102,6 +102,7 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFram
 
     Both have the columns of docs; a row goes to exactly one side, whatever its other values.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(bloom(ids, column))
     slots = bloom_slots(column)
 

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import integers, slices, text_column
+from .common import bound_batches, integers, slices, text_column
 from .kernel import NOT_SPACE, mix, spans, word_hashes
 
 POSITIVES, UNLABELLED = 8_000, 12_000
-_BYTES = 2 << 20
+_BYTES = 1 << 20
 _BIGRAMS = 256
 
 
@@ -172,6 +172,7 @@ def _vectors(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """Fit on labels outside fold 1 and on unlabelled texts; the samples are bounded."""
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", "y")
     order = F.xxhash64("doc_id", F.lit(2024))
