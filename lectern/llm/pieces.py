@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, slices
 from .counts import default_model, pretokens, splits_safely
 from .kernel import mix
 
@@ -404,11 +404,12 @@ def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id"
 
 
 def _run(docs: DataFrame, model: str | None, id_col: str, text_col: str, decode_too: bool) -> DataFrame:
+    bound_batches(docs.sparkSession)
     key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(load(model or default_model()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, decoder = _tools(key, sent.value)
-        for batch in slices(batches, "text", 3 << 20):
+        for batch in slices(batches, "text", 6 << 20):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             ids = cache.texts(texts)
             sizes = np.array([len(x) // 4 for x in ids])
