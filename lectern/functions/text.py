@@ -47,10 +47,13 @@ def common_prefix(a: Column, b: Column, bits: int = 31) -> Column:
     top = F.least(F.char_length(a), F.char_length(b))
 
     def grow(n: Column, k: Column) -> Column:
-        m = (n + F.shiftleft(F.lit(1).cast("bigint"), 0) * F.pow(F.lit(2), k)).cast("bigint")
+        m = (n + F.pow(F.lit(2), k)).cast("bigint")
         return F.when((m <= top) & (F.substring(a, (n + 1).cast("int"), (m - n).cast("int")) == F.substring(b, (n + 1).cast("int"), (m - n).cast("int"))), m).otherwise(n)
 
-    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), F.lit(0).cast("bigint"), grow)
+    descent = F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), F.lit(0).cast("bigint"), grow)
+    # Most pairs that are asked about extend each other: one comparison settles them.
+    whole = F.substring(a, F.lit(1), top) == F.substring(b, F.lit(1), top)
+    return F.when(whole, top.cast("bigint")).otherwise(descent)
 
 
 def truncate_display(text: Column, most: int = DISPLAY_CHARS) -> Column:
