@@ -26,7 +26,7 @@ DAYS = (250, 292)
 # Kinds in the order in which the pattern tries them.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
-    "secret": r"(?i:(?<![a-z0-9])(?:token|secret|passw(?:or)?d|passphrase|pwd|(?:api|access|auth|private)[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?[a-z0-9+/_-]{8,512}+)",
+    "secret": r"(?i:(?<![a-z0-9])(?:token|secret|passw(?:or)?d|passphrase|pwd|(?:api|access|auth|private)[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?[a-z0-9+/_-]{8,}+)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
@@ -69,12 +69,13 @@ def _add(half: Column, stream: Column, alphabet: str, sign: int) -> Column:
     """Characterwise sum with a key stream, modulo the size of the alphabet."""
     r = len(alphabet)
 
-    def one(j: Column) -> Column:
-        d = F.conv(_at(stream, F.pmod(j - 1, F.lit(32)) * 4 + 1, 4), 16, 10).cast("int")
-        k = F.instr(F.lit(alphabet), _at(half, j)) - 1
+    def one(s: Column, c: Column, j: Column) -> Column:
+        d = F.conv(_at(s, F.pmod(j, F.lit(32)) * 4 + 1, 4), 16, 10).cast("int")
+        k = F.instr(F.lit(alphabet), c) - 1
         return _at(F.lit(alphabet), F.pmod(k + d * sign, F.lit(r)) + 1)
 
-    return F.array_join(F.transform(_indexes(F.length(half)), one), "")
+    chars = F.filter(F.split(half, ""), lambda c: c != "")
+    return _once(stream, lambda s: F.array_join(F.transform(chars, lambda c, j: one(s, c, j)), ""))
 
 
 def feistel(value: Column, alphabet: str, key: str, tweak: str, undo: bool = False) -> Column:
@@ -122,11 +123,12 @@ def _refill(shape: Column, chars: Column, alphabet: str) -> Column:
     """Put characters, one after the other, where the shape holds any of the alphabet."""
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
 
-    def step(a: Column, c: Column) -> Column:
+    def step(new: Column, a: Column, c: Column) -> Column:
         ours = (c != "") & (F.instr(F.lit(alphabet), c) > 0)
-        return F.when(ours, F.struct(F.concat(a["s"], _at(chars, a["k"])).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k")))
+        return F.when(ours, F.struct(F.concat(a["s"], F.get(new, a["k"] - 1)).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k")))
 
-    return F.aggregate(F.split(shape, ""), start, step, lambda a: a["s"])
+    # Bound once: a long value would otherwise be permuted anew for each of its characters.
+    return _once(F.split(chars, ""), lambda new: F.aggregate(F.split(shape, ""), start, lambda a, c: step(new, a, c), lambda a: a["s"]))
 
 
 def _only(value: Column, alphabet: str) -> Column:

@@ -160,6 +160,19 @@ def test_same_values_link(spark):
     assert datetime.date.fromisoformat(out[4]) == datetime.datetime.strptime(out[5], "%d.%m.%Y").date()
 
 
+def test_long_secrets(spark):
+    """A secret of any length is replaced to its end."""
+    value = "".join(pii.ALNUM[(k * k + k // 7) % 62] for k in range(20000))
+    rows = [(n, f"x {label}{value[:n]} end") for n, label in ((512, "token="), (513, "token="), (1600, "private_key="), (20000, "secret: "))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    done = pii.pseudonymise(docs, "k")
+    for r, (n, text) in zip(done.orderBy("doc_id").collect(), rows):
+        head = text.index(value[:8])
+        assert (len(r.text), r.text[:head], r.text[-4:], list(r.pii)) == (len(text), text[:head], " end", ["secret"])
+        assert not any(value[k : k + 12] in r.text for k in range(0, n - 12, 12))
+    assert [r.text for r in pii.pseudonymise(done.drop("pii"), "k", undo=True).orderBy("doc_id").collect()] == [t for _, t in rows]
+
+
 def test_undo(texts):
     back = pii.pseudonymise(pii.pseudonymise(texts, "k").drop("pii"), "k", undo=True)
     assert [(r.text or "").lower() for r in back.orderBy("doc_id").collect()] == [(t or "").lower() for t in TEXTS]
