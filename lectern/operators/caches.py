@@ -57,6 +57,34 @@ def append_only(new: DataFrame, last: DataFrame, *keys: str, least: int = PREFIX
     return met.where(fine).select(*keys, "prefix", suffix.alias("suffix")).where("suffix <> ''")
 
 
+def prefix_pairs(docs: DataFrame, key: str, least: int = PREFIX_CHARS, share: float = PREFIX_SHARE) -> DataFrame:
+    """key, before, prefix: every text with each different one of a smaller key whose start it keeps.
+
+    They share at least `least` leading characters and `share` of the earlier one's length. Exact
+    copies are compared once. An earlier text is looked up by one prefix, the longest of a series
+    of lengths (each a quarter above the last) within what must be shared, so texts with no more
+    than a common header don't meet.
+    """
+    lengths = [least]
+    while lengths[-1] < 1 << 30:
+        lengths.append(max(lengths[-1] + 1, lengths[-1] * 5 // 4))
+    # The bound is a lambda variable, so that characters are counted once and not for each length.
+    within = lambda n: F.transform(F.array(n), lambda m: F.filter(F.array(*map(F.lit, lengths)), lambda x: x <= m))[0]
+    head = lambda n: F.xxhash64(F.left("text", n)).alias("_head")
+    found = docs.where(F.char_length("text") >= least).select(key, "text", F.sha2(F.col("text").cast("binary"), 256).alias("_id"))
+    texts, ids = found.select("_id", "text").dropDuplicates(["_id"]), found.select(key, "_id")
+    needed = F.greatest(F.lit(least), F.ceil(F.char_length("text") * share).cast("int"))
+    old = texts.withColumn("_n", F.array_max(within(needed))).select(F.col("_id").alias("_old"), "_n", head(F.col("_n")))
+    new = texts.select("_id", "text", F.explode(within(F.char_length("text"))).alias("_n")).select(F.col("_id").alias("_new"), "_n", head(F.col("_n")))
+    met = new.join(old, ["_n", "_head"]).where("_new <> _old").select("_new", "_old")
+    side = lambda name: texts.select(F.col("_id").alias(name), F.col("text").alias(f"{name}_text"))
+    both = met.join(side("_new"), "_new").join(side("_old"), "_old")
+    both = both.select("_new", "_old", common_prefix(F.col("_new_text"), F.col("_old_text")).alias("prefix"), F.char_length("_old_text").alias("_chars"))
+    fine = both.where((F.col("prefix") >= least) & (F.col("prefix") >= F.col("_chars") * share))
+    named = fine.join(ids.withColumnRenamed("_id", "_new"), "_new").join(ids.select(F.col(key).alias("before"), F.col("_id").alias("_old")), "_old")
+    return named.where(F.col("before") < F.col(key)).select(key, "before", "prefix")
+
+
 def hit_rate(log: DataFrame, *by: str) -> DataFrame:
     return log.groupBy(*by).agg(F.count("*").alias("lookups"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").cast("double")).alias("hit_rate"))
 

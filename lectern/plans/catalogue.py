@@ -319,11 +319,8 @@ def corpus_switch_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     l AS (SELECT doc_id, before, CAST(CASE WHEN coalesce(differs, 0) = 0 THEN least(length(text), length(old)) ELSE differs - 1 END AS BIGINT) AS prefix, length(old) AS n FROM c)
     SELECT doc_id, before, prefix FROM l WHERE prefix >= 0.5 * n""")
 def common_prefix_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = W.partitionBy(F.left("text", F.lit(100))).orderBy("doc_id")
-    docs = table(spark, sf_dir, "documents").where(F.char_length("text") >= 100)
-    pairs = docs.select("doc_id", "text", F.lag("doc_id").over(order).alias("before"), F.lag("text").over(order).alias("old")).where("old <> text")
-    met = pairs.withColumn("prefix", T.common_prefix(F.col("text"), F.col("old")))
-    return met.where(F.col("prefix") >= F.char_length("old") * 0.5).select("doc_id", "before", "prefix")
+    # Every earlier text counts, not the neighbour by id alone as in the SQL; see README.md.
+    return caches.prefix_pairs(table(spark, sf_dir, "documents"), "doc_id", 100)
 
 
 _SUFFIX = " And one more sentence."

@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import random
 import zipfile
 
@@ -262,6 +263,21 @@ def test_swap_prediction(spark):
     assert ask(context, 1).chose_swap and ask(context, 0) is None and ask(F.lit(None).cast("array<bigint>"), 1) is None
 
 
+def test_prefix_pairs(spark):
+    """Each earlier different text counts, whatever stands between, against all pairs in Python."""
+    head = "h" * 120
+    texts = [head + "a" * 200, head + "b" * 60, head + "a" * 200, head + "c" * 300, head + "a" * 200 + "x", head + "b" * 60 + "yy", head + "a" * 150 + "é" * 9, head, "h" * 99, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set()
+    for k, new in enumerate(texts):
+        for j, old in enumerate(texts[:k]):
+            n = len(os.path.commonprefix([new or "", old or ""]))
+            if new != old and n >= 100 and n >= 0.5 * len(old):
+                want.add((k, j, n))
+    got = [tuple(r) for r in caches.prefix_pairs(docs, "doc_id", 100).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {(4, 0, 320), (5, 1, 180)} <= want
+
+
 def test_recursive_reduce(spark):
     long = ". ".join(f"fact {k} that counts {'x' * (k % 7)}" for k in range(60))
     df = spark.createDataFrame([("a", long), ("b", "short")], "source string, facts string")
