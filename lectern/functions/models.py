@@ -56,7 +56,7 @@ def free_memory(line: Column) -> Column:
 
 
 def offload_warning(fraction: Column, model: Column) -> Column:
-    return F.when(fraction < OFFLOAD_BELOW, F.format_string("only %.0f%% of %s is resident", fraction * 100, model))
+    return F.when(fraction < OFFLOAD_BELOW, F.format_string("only %d%% of %s is resident", F.bround(fraction * 100).cast("bigint"), model))  # ties to even, as the reference's {:.0}
 
 
 def throughput(count: Column, ms: Column) -> Column:

@@ -602,7 +602,8 @@ def truncate_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, CASE WHEN f < 0.97 THEN 'only ' || CAST(round(f * 100) AS BIGINT) || '% of m is resident' END AS warning FROM (SELECT user_id, CAST(user_id % 128 AS DOUBLE) / 128 AS f FROM (SELECT DISTINCT user_id FROM events)) WHERE (f * 100) % 1 <> 0.5")
 def offload_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("f", (F.col("user_id") % 128).cast("double") / 128)
-    return users.where(F.col("f") * 100 % 1 != 0.5).select("user_id", M.offload_warning(F.col("f"), F.lit("m")).alias("warning"))
+    # All users, also those at rounding ties, which the SQL leaves out; see README.md.
+    return users.select("user_id", M.offload_warning(F.col("f"), F.lit("m")).alias("warning"))
 
 
 @query("SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ', ' ORDER BY turn) AS missing FROM conversations WHERE role <> 'user' GROUP BY conv_id")

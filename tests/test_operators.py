@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import caches, chunking, ordered, profile, qa, retrieval, store, workspaces
+from lectern.plans import catalogue
 from lectern.plans.ingest import ask_document, ingest_folder, load_text
 from lectern.sources import external, files
 from lectern.sources.html import page_items
@@ -278,6 +279,14 @@ def test_prefix_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == want and {(4, 0, 320), (5, 1, 180)} <= want
 
 
+def test_offload_ties(spark, tmp_path):
+    """Every user gets a row, ties round to even, as in the reference."""
+    spark.range(128).select(F.col("id").alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.warning for r in catalogue.QUERIES["offload_warning"](spark, str(tmp_path)).collect()}
+    want = {k: f"only {k / 128 * 100:.0f}% of m is resident" if k / 128 < 0.97 else None for k in range(128)}
+    assert got == want and "only 12%" in got[16]
+
+
 def test_recursive_reduce(spark):
     long = ". ".join(f"fact {k} that counts {'x' * (k % 7)}" for k in range(60))
     df = spark.createDataFrame([("a", long), ("b", "short")], "source string, facts string")
