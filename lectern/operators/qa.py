@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import bounded_split, document_budget, relevant, utrim
 
-from .ordered import steady
+from .ordered import steady, written
 
 # What joins facts, and the longest generated answer in tokens.
 SEPARATOR = "\n---\n"
@@ -154,15 +154,39 @@ def fold_stream(lines: DataFrame, key: str, order: str, json_column: str) -> Dat
 
 
 def dependency_levels(spark, edges: DataFrame) -> DataFrame:
-    """node and level of a sub-query graph (node, needs): a node comes after all that it needs."""
-    edges.createOrReplaceTempView("_lectern_needs")
-    return spark.sql("""
-        WITH RECURSIVE walk(node, level) AS (
-            SELECT DISTINCT node, 0 FROM _lectern_needs WHERE needs IS NULL
-            UNION ALL
-            SELECT e.node, w.level + 1 FROM walk w JOIN _lectern_needs e ON e.needs = w.node
-        )
-        SELECT node, CAST(max(level) AS BIGINT) AS level FROM walk GROUP BY node""")
+    """node and level of a sub-query graph (node, needs): a node comes after all that it needs.
+
+    Chains, where each node needs one other, are crossed by pointer doubling, in as many joins as
+    their length has binary digits; only nodes with several needs take a join for each level. No
+    cap on depth or rows. Nodes that no start leads to get no row; a cycle that one leads to raises.
+    """
+    steady(spark)
+    edges = written(edges.select("node", "needs").distinct())
+    single = edges.groupBy("node").agg(F.count("*").alias("n"), F.max("needs").alias("to")).where("n = 1 AND to IS NOT NULL").select("node", "to", F.lit(1).cast("bigint").alias("dist"))
+    # done: the pointer has left the chain, at a start or at a node with several needs.
+    links = written(single.join(single.select(F.col("node").alias("to"), F.lit(False).alias("done")), "to", "left").select("node", "to", "dist", F.coalesce("done", F.lit(True)).alias("done")))
+    for _ in range(links.count().bit_length() + 1):
+        if links.where("NOT done").isEmpty():
+            break
+        ahead = links.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("dist").alias("_dist"), F.col("done").alias("_done"))
+        jumped = links.where("NOT done").join(ahead, "to").select("node", F.col("_to").alias("to"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_done").alias("done"))
+        links = written(links.where("done").unionByName(jumped))
+    chains = links.where("done").drop("done")
+    known = front = written(edges.where("needs IS NULL").select("node", F.lit(0).cast("bigint").alias("level")))
+    joints = edges.where("needs IS NOT NULL").join(single, "node", "left_anti")
+    joints = joints.join(chains.select(F.col("node").alias("needs"), "to", "dist"), "needs", "left")
+    joints = written(joints.select("node", F.coalesce("to", "needs").alias("to"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")))
+    left = joints.select("node").distinct().count()
+    while left >= 0 and not front.isEmpty():
+        later = joints.join(front.select(F.col("node").alias("to"), "level"), "to").groupBy("node").agg(F.max(F.col("level") + F.col("dist")).alias("level"))
+        old = known.select("node", F.col("level").alias("_level"))
+        front = written(later.join(old, "node", "left").where("_level IS NULL OR level > _level").select("node", "level"))
+        known = written(known.join(front.select("node"), "node", "left_anti").unionByName(front))
+        left -= 1
+    if not front.isEmpty():
+        raise ValueError("the sub-queries need each other in a cycle")
+    ends = known.select(F.col("node").alias("to"), "level")
+    return known.unionByName(chains.join(ends, "to").select("node", (F.col("level") + F.col("dist")).alias("level")))
 
 
 def route_by_budget(docs: DataFrame, group: str, tokens: Column, budget: int, order: str) -> DataFrame:

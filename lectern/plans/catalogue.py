@@ -657,6 +657,9 @@ def converted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(max(turn) AS BIGINT) AS deepest FROM conversations GROUP BY conv_id")
 def dependency_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("node"), F.when(F.col("turn") > 0, F.col("conv_id") * 100 + F.col("turn") - 1).alias("needs"))
-    levels = qa.dependency_levels(spark, turns)
-    return levels.groupBy(F.floor(F.col("node") / 100).cast("bigint").alias("conv_id")).agg(F.max("level").alias("deepest"))
+    # Turns behind a gap need the missing ones too, so that their level is their number.
+    last = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("bigint").alias("conv_id")).agg(F.max("turn").cast("bigint").alias("last"))
+    turns = last.select("conv_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("last", F.lit(0)))).alias("turn"))
+    node = lambda turn: F.struct("conv_id", turn.alias("turn"))
+    levels = qa.dependency_levels(spark, turns.select(node(F.col("turn")).alias("node"), F.when(F.col("turn") > 0, node(F.col("turn") - 1)).alias("needs")))
+    return levels.groupBy(F.col("node.conv_id").alias("conv_id")).agg(F.max("level").alias("deepest"))

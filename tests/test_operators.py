@@ -287,6 +287,19 @@ def test_offload_ties(spark, tmp_path):
     assert got == want and "only 12%" in got[16]
 
 
+def test_dependency_levels(spark, tmp_path):
+    """Long chains, joints, unreached nodes, cycles; conversations of over 100 turns and with gaps."""
+    chain = [(k, k - 1 if k else None) for k in range(300)]
+    more = [(1000, 299), (1000, 5), (1001, 1000), (1002, 1001), (1002, 0), (1003, 1002), (2000, 2001), (2001, 2000), (2002, 2000), (2003, 9999)]
+    got = {r.node: r.level for r in qa.dependency_levels(spark, spark.createDataFrame(chain + more, "node long, needs long")).collect()}
+    assert got == {k: k for k in range(300)} | {1000: 300, 1001: 301, 1002: 302, 1003: 303}
+    with pytest.raises(ValueError):
+        qa.dependency_levels(spark, spark.createDataFrame([(0, None), (1, 0), (1, 2), (2, 1)], "node long, needs long"))
+    rows = [(1, t) for t in range(250)] + [(2, 0), (2, 1), (3, 0), (3, 4)]
+    spark.createDataFrame(rows, "conv_id long, turn int").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {tuple(r) for r in catalogue.QUERIES["dependency_depth"](spark, str(tmp_path)).collect()} == {(1, 249), (2, 1), (3, 4)}
+
+
 def test_recursive_reduce(spark):
     long = ". ".join(f"fact {k} that counts {'x' * (k % 7)}" for k in range(60))
     df = spark.createDataFrame([("a", long), ("b", "short")], "source string, facts string")
