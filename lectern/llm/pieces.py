@@ -7,6 +7,10 @@ a BPE model it is taken over the pieces that merging could leave side by side, o
 one remains at each end: pieces s and t stay apart just when merging their joint text gives s
 and t again, and a sequence is the model's own just when all its neighbours stay apart.
 
+Not supported, load() raises: a normalisation map, removal of extra white space (both defaults of
+trained models), unescaped white space or white space as suffix, user-defined pieces, and pieces
+that cross words.
+
 Defined results: null and empty texts have no ids and decode to the empty text; characters
 outside the vocabulary become byte pieces, or the unknown id where a model has none; strings of
 control pieces in a text are ordinary text; no begin or end ids are added; repeated rows are
