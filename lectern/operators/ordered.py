@@ -7,50 +7,11 @@ globally.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def steady(spark: SparkSession) -> SparkSession:
-    """Unions that keep their sides' partitioning fail where AQE has coalesced the sides apart."""
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; a private one where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:
-            return
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write and reread, so that two readers see one evaluation."""
-    path, schema = f"{shared_dir(df.sparkSession)}/ordered-{uuid.uuid4().hex}", df.schema
-    _made.append((df.sparkSession, path))
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
+from lectern.storage import written
 
 def dealt(df: DataFrame, *order: Column | str) -> DataFrame:
     """Rows with _part, ascending along the order, and _idx inside it from 1."""

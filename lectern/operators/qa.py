@@ -13,8 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import bounded_split, document_budget, relevant, utrim
-
-from .ordered import steady, written
+from lectern.storage import steady, written
 
 # What joins facts, and the longest generated answer in tokens.
 SEPARATOR = "\n---\n"

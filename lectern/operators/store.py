@@ -14,7 +14,9 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ordered import number_rows, steady
+from lectern.storage import steady
+
+from .ordered import number_rows
 
 CHUNKS = "chunk_id long, doc_path string, chunk_index long, page int, text string, embedding array<float>"
 META = "doc_path string, mtime long, size long, last_ingested_at long"
