@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.storage import written
 
+
 def dealt(df: DataFrame, *order: Column | str) -> DataFrame:
     """Rows with _part, ascending along the order, and _idx inside it from 1."""
     ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())

@@ -46,6 +46,18 @@ def _sweep() -> None:
             return
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a plan scans, from the file index; 0 where it scans none."""
+    total, stack = 0, [df._jdf.queryExecution().optimizedPlan()]
+    while stack:
+        node = stack.pop()
+        if node.getClass().getSimpleName() == "LogicalRelation":
+            total += int(node.relation().sizeInBytes())
+        children = node.children()
+        stack += [children.apply(k) for k in range(children.size())]
+    return total
+
+
 class Workspace:
     """Tables that one operator call writes to the shared folder to cut its lineage."""
 
