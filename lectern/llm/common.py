@@ -1,43 +1,17 @@
-"""Shared plumbing of the training-data operators: written tables, bucket counts, Arrow columns."""
+"""Shared plumbing of the training-data operators: bucket counts, Arrow columns, tree merges."""
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session is gone already
-            return
+from lectern import storage
 
 
 def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
@@ -50,31 +24,12 @@ def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
             spark.conf.set(key, str(limit))
 
 
-class Workspace:
-    """Tables that one operator call writes to the shared folder to cut its lineage."""
+class Workspace(storage.Workspace):
+    """Tables that one operator call writes, with Arrow batches bounded."""
 
     def __init__(self, spark: SparkSession, name: str):
         bound_batches(spark)
-        # Unions that keep their sides' partitioning fail where AQE has coalesced the sides apart.
-        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-        self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        _written.append((spark, self.root))
-
-    def path(self) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count}"
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write and reread: a lost executor costs a file read, never the lineage."""
-        path, schema = self.path(), df.schema
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a saved table that nothing reads any more."""
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            if f.startswith("file:") or "://" in f:
-                _delete(self.spark, f)
+        super().__init__(spark, name)
 
 
 def size_in_bytes(df: DataFrame) -> int:
@@ -84,8 +39,55 @@ def size_in_bytes(df: DataFrame) -> int:
 
 
 def bucket_count(df: DataFrame, each: int = 16 << 20) -> int:
-    """Hash buckets that follow the input, so that one bucket always fits a worker's memory."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size_in_bytes(df) / each))
+    """Hash buckets that follow the input, so that one bucket always fits a worker's memory.
+
+    Catalyst's estimate may be far off for joins; files that the table reads bound it both ways
+    (parquet opens to a few times its size).
+    """
+    least, guess = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size_in_bytes(df)
+    files = storage.input_bytes(df)
+    if files:
+        guess = min(max(guess, files), 16 * files)
+    return min(max(least, math.ceil(guess / each)), 1 << 20)
+
+
+def merge_tree(parts: DataFrame, merge: Callable[[Iterator[bytes]], bytes], fan_in: int = 64) -> bytes | None:
+    """One value from bounded binary summaries (one column, `part`), merged level by level.
+
+    Each level streams its summaries through `merge`, so a task holds two of them, and one row
+    reaches the driver. None without any summary.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (x.as_py() for b in batches for x in b.column(0))
+        first = next(rows, None)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([binary_array([merge(_chain(first, rows))])], ["part"])
+
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Without a number of partitions, so that AQE can join the small ones.
+    now = parts.select("part").withColumn("at", _spread(n)).repartition("at").select("part").mapInArrow(run, "part binary")
+    while n > fan_in:
+        n = -(-n // fan_in)
+        now = now.withColumn("at", _spread(n)).repartition(n, "at").select("part").mapInArrow(run, "part binary")
+    rows = now.repartition(1).mapInArrow(run, "part binary").collect()
+    return bytes(rows[0].part) if rows else None
+
+
+def _chain(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
+    yield first
+    yield from rest
+
+
+def _spread(n: int):
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(n))
+
+
+def task_number() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
