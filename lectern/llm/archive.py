@@ -8,8 +8,10 @@ sources, so any store that Spark reaches will do.
 
 Defined results: a null page is an empty payload; a null url is `about:blank`, and spaces and
 control characters of urls are percent-encoded; an ARC record that ends before its declared
-length is converted with WARC-Truncated; rows with the same id and payload are each a response;
-a null id is written without one and revisits like any other; an empty table gives no records.
+length is converted with WARC-Truncated; every row is one record, also where an id repeats: rows
+with the same id and payload are both responses (or both revisits) with one record id, rows with
+the same id and other payloads are told apart by their digests; a null id is written without one
+and always a response; an empty table gives no records.
 """
 
 from __future__ import annotations
@@ -128,23 +130,24 @@ def _header(head: bytes, name: bytes) -> str | None:
     return m[1].decode("utf-8", "replace") if m else None
 
 
-def convert_arc(data: bytes, refers: Callable[[str | None], tuple[int, str] | None] = lambda key: None) -> Iterator[bytes]:
+def convert_arc(data: bytes, refers: Callable[[str | None, str], int | None] = lambda page, digest: None) -> Iterator[bytes]:
     """WARC records for the records of an ARC file.
 
-    refers: for the X-Page-Id of a record whose payload another record holds, that page's id and
-    record id; such records become revisits without payload.
+    refers: for the X-Page-Id and payload digest of a record whose payload another page's record
+    holds, that page's id; such records become revisits without payload.
     """
     for r in read_arc(data):
         head, payload = split_http(r.block)
         digest = hashlib.sha256(payload).hexdigest()
         page = _header(head, rb"X-Page-Id")
         date = warc_date(r.headers["date"])
-        other = refers(page)
+        first = refers(page, digest)
+        other = first is not None
         kind = "revisit" if other else "response" if head else "resource"
-        own = record_id("page", page) if page is not None else record_id(r.headers["url"], date, digest)
+        own = record_id("page", page, digest) if page is not None else record_id(r.headers["url"], date, digest)
         headers = {"WARC-Type": kind, "WARC-Record-ID": own, "WARC-Date": date, "WARC-Target-URI": r.headers["url"], "WARC-IP-Address": r.headers["ip"], "Content-Type": "application/http;msgtype=response" if head else r.headers["type"], "WARC-Payload-Digest": f"sha256:{digest}", "WARC-Block-Digest": f"sha256:{hashlib.sha256(head if other else r.block).hexdigest()}"}
         if other:
-            headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": other[1], "X-Refers-To-Page-Id": str(other[0]), "X-Payload-Length": str(len(payload))}
+            headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id("page", first, digest), "X-Refers-To-Page-Id": str(first), "X-Payload-Length": str(len(payload))}
         if r.truncated:
             headers["WARC-Truncated"] = "length"
         yield warc_record(headers, head if other else r.block)
@@ -208,28 +211,33 @@ def read_warc(data: bytes) -> Iterator[Record]:
 # --- tables --------------------------------------------------------------------------------
 
 
-def find_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id and refers_to of pages whose payload a page with a smaller id holds."""
+def first_holders(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """digest and first: payloads of `least` bytes or more that several rows hold, with the smallest page_id.
+
+    Partial minima per digest: a payload that a third of all pages share stays one row per task.
+    """
     body = F.coalesce("html", F.lit("")).cast("binary")
     keys = pages.select("page_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("size")).where(F.col("size") >= least)
-    # Partial sums per digest: a payload that a third of all pages share stays one row per task.
-    groups = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
-    return keys.join(groups, "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
 
 
 def write_warc(pages: DataFrame, path: str, work: Workspace, least: int = LEAST) -> None:
     """Write pages (page_id, url, html) to gzipped WARC files through an ARC file for each batch."""
-    revisits = work.save(find_revisits(pages, least))
-    body = F.coalesce("html", F.lit("")).cast("binary").alias("html")
-    rows = pages.select("page_id", F.col("url").cast("binary").alias("url"), body).join(revisits, "page_id", "left")
+    # Written, so that both sides of a sort-merge join are plain exchanges: a hot digest can be split.
+    holders = work.save(first_holders(pages, least))
+    body = F.coalesce("html", F.lit("")).cast("binary")
+    # Small payloads meet no holder; keys of their own spread them.
+    key = F.when(F.octet_length("html") >= least, F.sha2("html", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    rows = pages.select("page_id", F.col("url").cast("binary").alias("url"), body.alias("html")).withColumn("digest", key).join(holders, "digest", "left")
+    rows = rows.select("page_id", "url", "html", F.when(F.col("page_id") > F.col("first"), F.struct("digest", "first")).alias("refers_to"))
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(slices(batches, "html", 2 << 20)):
             cols = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "refers_to")}
-            first = {str(p): r for p, r in zip(cols["page_id"], cols["refers_to"]) if r is not None}
+            first = {(str(p), r["digest"]): r["first"] for p, r in zip(cols["page_id"], cols["refers_to"]) if r is not None}
             heads = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n%sContent-Length: %d\r\n\r\n" % (b"" if p is None else b"X-Page-Id: %d\r\n" % p, len(h)) for p, h in zip(cols["page_id"], cols["html"]))
             arc = write_arc("pages.arc", ((u, "20240101000000", "text/html", head + h) for u, head, h in zip(cols["url"], heads, cols["html"])), "12"[k % 2])
-            made = list(convert_arc(arc, lambda page: (first[page], record_id("page", first[page])) if page in first else None))
+            made = list(convert_arc(arc, lambda page, digest: first.get((page, digest))))
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
 
     out = rows.mapInArrow(convert, "value binary").select(F.col("value").cast("string").alias("value"))
