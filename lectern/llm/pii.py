@@ -3,8 +3,13 @@
 Emails, secrets, bank accounts, addresses, phone, card and social security numbers and dates are
 found by one pattern, validated, and run through a keyed Feistel network over their own
 characters. A value keeps its format (marks, length, check digits), equal values get equal
-pseudonyms in every document, and whoever holds the key can undo them. Text between the
-matches stays byte for byte. Matches are rare, so the interpreted expressions run rarely.
+pseudonyms in every document, and whoever holds the key can undo them (emails come back in
+lower case). Text between the matches stays byte for byte. Matches are rare, so the interpreted
+expressions run rarely.
+
+The key enters as the only cell of a table and is read by a scalar subquery, so it stands in no
+plan, event log or UI page. Every loop of the pattern is possessive or bounded, and every step
+over a value's characters is linear, so that texts of any length and shape are safe.
 
 Defined results: a null text stays null with nothing found, an empty one stays empty; what looks
 like a number or date but fails validation stays; an all-day permutation covers 1900-01-01 and
@@ -14,7 +19,7 @@ repeated rows are treated each; other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -23,9 +28,12 @@ ALNUM = LOWER + LOWER[10:].upper()
 #: Days from 1900-01-01 that dates are permuted among, as a product.
 DAYS = (250, 292)
 
-# Kinds in the order in which the pattern tries them.
+_TOP = r"[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+
+# Kinds in the order in which the pattern tries them. An address ends at its last label of 2 to 24
+# letters; a greedy loop over labels would recurse for each of them.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:(?:\.(?!{_TOP})[A-Za-z0-9-]++)*+\.{_TOP})++",
     "secret": r"(?i:(?<![a-z0-9])(?:token|secret|passw(?:or)?d|passphrase|pwd|(?:api|access|auth|private)[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?[a-z0-9+/_-]{8,}+)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
@@ -59,47 +67,52 @@ def _at(s: Column, j: Column | int, n: int = 1) -> Column:
     return F.substring(s, F.lit(j) if isinstance(j, int) else j, F.lit(n))
 
 
-def _stream(key: str, tweak: str, i: Column, half: Column) -> Column:
-    """128 hex digits that the key, the kind, the round and the other half determine."""
-    parts = [F.sha2(F.concat(F.lit(f"{key}|{tweak}|{n}|"), i.cast("string"), F.lit("|"), half).cast("binary"), 256) for n in (0, 1)]
-    return F.concat(*parts)
+def _digest(key: Column, tweak: str, i: Column, half: Column) -> Column:
+    """64 hex digits that the key, the kind, the round and the other half determine."""
+    return F.sha2(F.concat(key, F.lit(f"|{tweak}|"), i.cast("string"), F.lit("|"), half).cast("binary"), 256)
 
 
-def _add(half: Column, stream: Column, alphabet: str, sign: int) -> Column:
-    """Characterwise sum with a key stream, modulo the size of the alphabet."""
+def _add(half: Column, digest: Column, alphabet: str, sign: int) -> Column:
+    """Characterwise sum with a key stream, modulo the size of the alphabet.
+
+    The stream goes on for as long as the half: 16 characters for each numbered hash of the digest.
+    """
     r = len(alphabet)
 
-    def one(s: Column, c: Column, j: Column) -> Column:
-        d = F.conv(_at(s, F.pmod(j, F.lit(32)) * 4 + 1, 4), 16, 10).cast("int")
+    def one(blocks: Column, c: Column, j: Column) -> Column:
+        s = F.element_at(blocks, F.floor(j / 16).cast("int") + 1)
+        d = F.conv(_at(s, F.pmod(j, F.lit(16)) * 4 + 1, 4), 16, 10).cast("int")
         k = F.instr(F.lit(alphabet), c) - 1
         return _at(F.lit(alphabet), F.pmod(k + d * sign, F.lit(r)) + 1)
 
     chars = F.filter(F.split(half, ""), lambda c: c != "")
-    return _once(stream, lambda s: F.array_join(F.transform(chars, lambda c, j: one(s, c, j)), ""))
+    number = F.sequence(F.lit(0), F.floor(F.length(half) / 16).cast("int"))
+    blocks = _once(digest, lambda d: F.transform(number, lambda b: F.sha2(F.concat(d, F.lit("|"), b.cast("string")).cast("binary"), 256)))
+    return _once(blocks, lambda s: F.array_join(F.transform(chars, lambda c, j: one(s, c, j)), ""))
 
 
-def feistel(value: Column, alphabet: str, key: str, tweak: str, undo: bool = False) -> Column:
+def feistel(value: Column, alphabet: str, key: Column, tweak: str, undo: bool = False) -> Column:
     """A keyed permutation of the strings over the alphabet that keeps their length."""
     u = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substring(value, F.lit(1), u).alias("l"), F.substring(value, u + 1, F.length(value)).alias("r"))
 
     def forth(a: Column, i: Column) -> Column:
-        return F.struct(a["r"].alias("l"), _add(a["l"], _stream(key, tweak, i, a["r"]), alphabet, 1).alias("r"))
+        return F.struct(a["r"].alias("l"), _add(a["l"], _digest(key, tweak, i, a["r"]), alphabet, 1).alias("r"))
 
     def back(a: Column, i: Column) -> Column:
-        return F.struct(_add(a["r"], _stream(key, tweak, i, a["l"]), alphabet, -1).alias("l"), a["l"].alias("r"))
+        return F.struct(_add(a["r"], _digest(key, tweak, i, a["l"]), alphabet, -1).alias("l"), a["l"].alias("r"))
 
     rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if undo else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     return F.aggregate(rounds, start, back if undo else forth, lambda a: F.concat(a["l"], a["r"]))
 
 
-def feistel_number(value: Column, a: int | Column, b: int | Column, key: str, tweak: str, undo: bool = False) -> Column:
+def feistel_number(value: Column, a: int | Column, b: int | Column, key: Column, tweak: str, undo: bool = False) -> Column:
     """A keyed permutation of the numbers below a * b."""
     a, b = (x if isinstance(x, Column) else F.lit(x) for x in (a, b))
     start = F.struct(F.floor(value / b).cast("long").alias("x"), F.pmod(value, b).cast("long").alias("y"))
 
     def noise(i: Column, other: Column, size: Column) -> Column:
-        return F.pmod(F.conv(_at(_stream(key, tweak, i, other.cast("string")), 1, 12), 16, 10).cast("long"), size)
+        return F.pmod(F.conv(_at(_digest(key, tweak, i, other.cast("string")), 1, 12), 16, 10).cast("long"), size)
 
     def step(s: Column, i: Column) -> Column:
         if undo:
@@ -121,21 +134,15 @@ def _once(value: Column, use) -> Column:
 
 def _refill(shape: Column, chars: Column, alphabet: str) -> Column:
     """Put characters, one after the other, where the shape holds any of the alphabet."""
-    start = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
-
-    def step(new: Column, a: Column, c: Column) -> Column:
-        ours = (c != "") & (F.instr(F.lit(alphabet), c) > 0)
-        return F.when(ours, F.struct(F.concat(a["s"], F.get(new, a["k"] - 1)).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k")))
-
-    # Bound once: a long value would otherwise be permuted anew for each of its characters.
-    return _once(F.split(chars, ""), lambda new: F.aggregate(F.split(shape, ""), start, lambda a, c: step(new, a, c), lambda a: a["s"]))
+    between = F.split(shape, f"[{alphabet}]", -1)
+    return F.array_join(F.zip_with(between, F.filter(F.split(chars, ""), lambda c: c != ""), lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
 
 
 def _only(value: Column, alphabet: str) -> Column:
     return F.translate(value, "".join(chr(c) for c in range(33, 127) if chr(c) not in alphabet) + " ", "")
 
 
-def _permute(value: Column, alphabet: str, key: str, tweak: str, undo: bool) -> Column:
+def _permute(value: Column, alphabet: str, key: Column, tweak: str, undo: bool) -> Column:
     return _once(value, lambda v: _refill(v, feistel(_only(v, alphabet), alphabet, key, tweak, undo), alphabet))
 
 
@@ -154,7 +161,7 @@ def _with_check(body: Column) -> Column:
     return F.concat(body, F.pmod(F.lit(10) - F.pmod(_luhn_sum(body), F.lit(10)), F.lit(10)).cast("string"))
 
 
-def _card(m: Column, key: str, undo: bool) -> Column:
+def _card(m: Column, key: Column, undo: bool) -> Column:
     def done(d: Column) -> Column:
         body = F.substring(d, F.lit(1), F.length(d) - 1)
         new = _once(feistel(body, DIGITS, key, "card", undo), _with_check)
@@ -174,7 +181,7 @@ def _iban_rest(s: Column) -> Column:
     return F.aggregate(_indexes(F.length(s)), F.lit(0), one)
 
 
-def _iban(m: Column, key: str, undo: bool) -> Column:
+def _iban(m: Column, key: Column, undo: bool) -> Column:
     def done(s: Column) -> Column:
         new = _permute(F.substring(s, F.lit(5), F.length(s)), DIGITS, key, "iban", undo)
         land = F.substring(s, F.lit(1), F.lit(2))
@@ -184,7 +191,7 @@ def _iban(m: Column, key: str, undo: bool) -> Column:
     return _once(F.translate(m, " ", ""), done)
 
 
-def _ip(m: Column, key: str, undo: bool) -> Column:
+def _ip(m: Column, key: Column, undo: bool) -> Column:
     """Octets keep their number of digits: each is a digit of a number in mixed radix."""
 
     def radix(x: Column) -> Column:
@@ -209,45 +216,58 @@ def _ip(m: Column, key: str, undo: bool) -> Column:
     return _once(F.split(m, "\\."), done)
 
 
-def _phone(m: Column, key: str, undo: bool) -> Column:
+def _phone(m: Column, key: Column, undo: bool) -> Column:
     code = F.when(m.startswith("+"), F.regexp_extract(m, "^\\+\\d{1,3}(?=\\D)", 0)).otherwise("")
     return _once(code, lambda c: F.concat(c, _permute(F.substring(m, F.length(c) + 1, F.length(m)), DIGITS, key, "phone", undo)))
 
 
-def _ssn(m: Column, key: str, undo: bool) -> Column:
-    fine = lambda d: ~d.rlike("^(000|666|9)|^...00|0000$")
+def _walk(start: Column, step, fine) -> Column:
+    """Permute again and again until a value comes that may stand here: a permutation of those.
 
-    def walk(d: Column) -> Column:
-        # Walk the cycle until a valid number comes: nine in ten are.
-        seen = F.struct(d.alias("d"), F.lit(False).alias("ok"))
-        move = lambda a, _: F.when(a["ok"], a).otherwise(_once(feistel(a["d"], DIGITS, key, "ssn", undo), lambda n: F.struct(n.alias("d"), fine(n).alias("ok"))))
-        new = F.aggregate(F.sequence(F.lit(1), F.lit(40)), seen, move, lambda a: F.when(a["ok"], a["d"]).otherwise(d))
-        return F.when(fine(d), _refill(m, new, DIGITS)).otherwise(m)
+    Two in five values at least may, so that 64 steps miss one in 1e14; such a value stays.
+    """
+    seen = F.struct(start.alias("d"), F.lit(False).alias("ok"))
+    move = lambda a, _: F.when(a["ok"], a).otherwise(_once(step(a["d"]), lambda n: F.struct(n.alias("d"), fine(n).alias("ok"))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), seen, move, lambda a: F.when(a["ok"], a["d"]).otherwise(start))
 
-    return _once(_only(m, DIGITS), walk)
 
+def _ssn(m: Column, key: Column, undo: bool) -> Column:
+    fine = lambda d: ~d.rlike("^(000|666|9)|^...00|0000$")
+    new = lambda d: _refill(m, _walk(d, lambda x: feistel(x, DIGITS, key, "ssn", undo), fine), DIGITS)
+    return _once(_only(m, DIGITS), lambda d: F.when(fine(d), new(d)).otherwise(m))
 
-def _date(m: Column, key: str, undo: bool) -> Column:
+
+def _date(m: Column, key: Column, undo: bool) -> Column:
+    """Days after the twelfth stay after it, so that day and month are told apart as before."""
     kinds = {"yyyy-MM-dd": "^\\d{4}-", "dd.MM.yyyy": "^\\d{2}\\.", "MM/dd/yyyy": "^\\d{2}/", "dd/MM/yyyy": "^(1[3-9]|[23]\\d)/"}
-    first, out = F.lit("1900-01-01").cast("date"), m
+    first, day = F.lit("1900-01-01").cast("date"), F.lit(None).cast("int")
+    style = F.lit(None).cast("string")
+    for form, shape in kinds.items():
+        parts = [F.substring(m, F.lit(form.index(c) + 1), F.lit(len(c))) for c in ("yyyy", "MM", "dd")]
+        here = m.rlike(shape)
+        day = F.when(here, F.datediff(F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd"), first)).otherwise(day)
+        style = F.when(here, F.lit(form)).otherwise(style)
+    late = lambda n: F.dayofmonth(F.date_add(first, n.cast("int"))) > 12
 
-    def shift(style: str):
-        move = lambda n: F.date_format(F.date_add(first, feistel_number(n, *DAYS, key, "date", undo).cast("int")), style)
-        return lambda n: F.when((n >= 0) & (n < DAYS[0] * DAYS[1]), move(n))
+    def moved(n: Column) -> Column:
+        new = _walk(n, lambda x: feistel_number(x, *DAYS, key, "date", undo), lambda x: late(x) == late(n))
+        return _once(F.date_add(first, new.cast("int")), written)
 
-    for style, shape in kinds.items():
-        parts = [F.substring(m, F.lit(style.index(c) + 1), F.lit(len(c))) for c in ("yyyy", "MM", "dd")]
-        day = F.datediff(F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd"), first)
-        out = F.when(m.rlike(shape), F.coalesce(_once(day, shift(style)), m)).otherwise(out)
-    return out
+    def written(d: Column) -> Column:
+        out = m
+        for form in kinds:
+            out = F.when(style == form, F.date_format(d, form)).otherwise(out)
+        return out
+
+    return _once(day.cast("bigint"), lambda n: F.when((n >= 0) & (n < DAYS[0] * DAYS[1]), moved(n)).otherwise(m))
 
 
-def _email(m: Column, key: str, undo: bool) -> Column:
+def _email(m: Column, key: Column, undo: bool) -> Column:
     last = F.regexp_extract(m, "\\.[A-Za-z]+$", 0)
     return _once(last, lambda t: F.concat(_permute(F.lower(F.substring(m, F.lit(1), F.length(m) - F.length(t))), LOWER, key, "email", undo), F.lower(t)))
 
 
-def _secret(m: Column, key: str, undo: bool) -> Column:
+def _secret(m: Column, key: Column, undo: bool) -> Column:
     label = F.regexp_extract(m, "^[A-Za-z_-]+\\s*[=:]\\s*[\"']?", 0)
 
     def done(t: Column) -> Column:
@@ -263,7 +283,7 @@ def _secret(m: Column, key: str, undo: bool) -> Column:
 _MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "phone": _phone, "card": _card, "ssn": _ssn, "date": _date}
 
 
-def pseudonym(match: Column, key: str, undo: bool = False) -> Column:
+def pseudonym(match: Column, key: Column, undo: bool = False) -> Column:
     """The pseudonym of one match of PATTERN (or the value behind one, if undo)."""
     kind, out = _kind(match), match
     for name, make in _MAKERS.items():
@@ -271,19 +291,28 @@ def pseudonym(match: Column, key: str, undo: bool = False) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "pii", undo: bool = False) -> DataFrame:
-    """Replace personal data in the text column; found_col gets the kinds replaced, in order."""
-    text = F.col(text_col)
+def key_table(spark: SparkSession, key: str) -> DataFrame:
+    """A secret as a table of one cell."""
+    return spark.sql("SELECT k FROM VALUES (?) AS t (k)", args=[key])
+
+
+def pseudonymise(docs: DataFrame, key: DataFrame, text_col: str = "text", found_col: str = "pii", undo: bool = False) -> DataFrame:
+    """Replace personal data in the text column; found_col gets the kinds replaced, in order.
+
+    key: the secret as a table of one cell (key_table()).
+    """
+    text, names = F.col(text_col), []
+    for held in ("_key", "_swap"):
+        while held in docs.columns:
+            held += "_"
+        names.append(held)
+    secret, done = F.col(names[0]), F.col(names[1])
     candidates = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    swap = F.transform(candidates, lambda m: F.struct(pseudonym(m, key, undo).alias("new"), m.alias("old"), _kind(m).alias("kind")))
+    swap = F.transform(candidates, lambda m: F.struct(pseudonym(m, secret, undo).alias("new"), m.alias("old"), _kind(m).alias("kind")))
     # Most texts hold neither a digit, an @ nor a label, and stop at this test.
     swap = F.when(text.rlike("[0-9@]|(?i:key|token|secret|pass|pwd)"), swap).otherwise(F.array().cast("array<struct<new:string,old:string,kind:string>>"))
-    held = "_swap"
-    while held in docs.columns:
-        held += "_"
-    marked = docs.withColumn(held, swap)
-    done = F.col(held)
+    marked = docs.withColumn(names[0], key.scalar()).withColumn(names[1], swap)
     pieces = F.split(text, PATTERN, -1)
     joined = F.array_join(F.zip_with(pieces, F.transform(done, lambda s: s["new"]), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     kinds = F.transform(F.filter(done, lambda s: s["new"] != s["old"]), lambda s: s["kind"])
-    return marked.withColumns({text_col: F.when(F.size(done) > 0, joined).otherwise(text), found_col: F.coalesce(kinds, F.array().cast("array<string>"))}).drop(held)
+    return marked.withColumns({text_col: F.when(F.size(done) > 0, joined).otherwise(text), found_col: F.coalesce(kinds, F.array().cast("array<string>"))}).drop(*names)

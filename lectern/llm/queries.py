@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from .oracles import ORACLES
 
 
-#: The key of the registered query; a deployment passes its own secret.
-PII_KEY = "lectern"
+def pii_key(spark: SparkSession) -> DataFrame:
+    """The pseudonym key: the session's spark.lectern.pii.secret, which Spark redacts in its pages.
+
+    Without one, as on test data, a public key that protects nothing.
+    """
+    from .pii import key_table
+
+    return key_table(spark, spark.conf.get("spark.lectern.pii.secret", None) or "lectern")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +45,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pseudonymise
 
-    return pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +90,4 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_token_counts, op4_pii, op5_jaccard_join, op6_chat_format, op7_substring_dedup, op8_quality, op9_decontaminate, op10_nearest)}
 
-__all__ = ["ORACLES", "PII_KEY", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "pii_key"]

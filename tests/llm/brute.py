@@ -1,5 +1,6 @@
 """Plain Python versions of the operators, written from their contracts alone."""
 
+import datetime
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -85,3 +86,152 @@ def archive(pages, least=100):
         again = other is not None and i is not None and i > other
         out.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", other if again else None))
     return out
+
+
+# --- pseudonyms ----------------------------------------------------------------------------
+
+_DIGITS, _HEX, _LOWER = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"
+_ANY = _LOWER + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _noise(key, tweak, i, half):
+    return sha(f"{key}|{tweak}|{i}|{half}")
+
+
+def _shift(half, digest, alphabet):
+    out = []
+    for j, c in enumerate(half):
+        block = sha(f"{digest}|{j // 16}")
+        out.append(alphabet[(alphabet.index(c) + int(block[j % 16 * 4 : j % 16 * 4 + 4], 16)) % len(alphabet)])
+    return "".join(out)
+
+
+def _text_network(value, alphabet, key, tweak):
+    left, right = value[: len(value) // 2], value[len(value) // 2 :]
+    for i in range(8):
+        left, right = right, _shift(left, _noise(key, tweak, i, right), alphabet)
+    return left + right
+
+
+def _number_network(n, a, b, key, tweak):
+    x, y = n // b, n % b
+    for i in range(8):
+        x = (x + int(_noise(key, tweak, i, y)[:12], 16)) % a
+        y = (y + int(_noise(key, tweak, i + 100, x)[:12], 16)) % b
+    return x * b + y
+
+
+def _fill(shape, new, alphabet):
+    new = iter(new)
+    return "".join(next(new) if c in alphabet else c for c in shape)
+
+
+def _characters(value, alphabet, key, tweak):
+    return _fill(value, _text_network("".join(c for c in value if c in alphabet), alphabet, key, tweak), alphabet)
+
+
+def _luhn_digit(body):
+    total = 0
+    for k, c in enumerate(reversed(body)):
+        d = int(c) * (2 if k % 2 == 0 else 1)
+        total += d - 9 if d > 9 else d
+    return str(-total % 10)
+
+
+def _mod97(s):
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def _date_parts(m):
+    if m[4] == "-":
+        return "%Y-%m-%d"
+    return "%d.%m.%Y" if m[2] == "." else "%d/%m/%Y" if int(m[:2]) > 12 else "%m/%d/%Y"
+
+
+def _one(m, key):
+    """Kind and pseudonym of a match."""
+    if "@" in m:
+        top = m[m.rindex(".") :]
+        return "email", _characters(m[: len(m) - len(top)].lower(), _LOWER, key, "email") + top.lower()
+    label = re.match("[A-Za-z_-]+\\s*[=:]\\s*[\"']?", m)
+    if label:
+        value = m[label.end() :]
+        for form, back in ((_HEX, str.lower), (_HEX.upper(), str.upper)):
+            if all(c in form for c in value):
+                return "secret", label[0] + back(_characters(value.lower(), _HEX, key, "secret"))
+        return "secret", label[0] + _characters(value, _ANY, key, "secret")
+    digits = "".join(c for c in m if c in _DIGITS)
+    if re.match("[A-Z]{2}", m):
+        s = m.replace(" ", "")
+        if _mod97(s) != 1 or not 15 <= len(s) <= 34:
+            return "iban", m
+        body = _characters(s[4:], _DIGITS, key, "iban")
+        return "iban", _fill(m, s[:2] + f"{98 - _mod97(s[:2] + '00' + body):02d}" + body, _LOWER.upper())
+    if re.fullmatch("([0-9]{1,3}\\.){3}[0-9]{1,3}", m):
+        parts = m.split(".")
+        if any(int(x) > 255 or str(int(x)) != x for x in parts):
+            return "ip", m
+        size, low = [{1: 10, 2: 90, 3: 156}[len(x)] for x in parts], [{1: 0, 2: 10, 3: 100}[len(x)] for x in parts]
+        n = 0
+        for x, r, b in zip(parts, size, low):
+            n = n * r + int(x) - b
+        n = _number_network(n, size[0] * size[1], size[2] * size[3], key, "ip")
+        out = []
+        for r, b in zip(reversed(size), reversed(low)):
+            out.append(str(n % r + b))
+            n //= r
+        return "ip", ".".join(reversed(out))
+    if re.fullmatch("[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\\1[0-9]{4}", m):
+        try:
+            day = (datetime.datetime.strptime(m, _date_parts(m)).date() - datetime.date(1900, 1, 1)).days
+        except ValueError:
+            return "date", m
+        if not 0 <= day < 73000:
+            return "date", m
+        start, new = datetime.date(1900, 1, 1), day
+        while True:
+            new = _number_network(new, 250, 292, key, "date")
+            if ((start + datetime.timedelta(new)).day > 12) == ((start + datetime.timedelta(day)).day > 12):
+                return "date", (start + datetime.timedelta(new)).strftime(_date_parts(m))
+    if re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", m):
+        bad = lambda d: re.match("000|666|9|...00|.....0000", d)
+        if bad(digits):
+            return "ssn", m
+        new = _text_network(digits, _DIGITS, key, "ssn")
+        while bad(new):
+            new = _text_network(new, _DIGITS, key, "ssn")
+        return "ssn", _fill(m, new, _DIGITS)
+    if m[0] in "+(" or re.fullmatch("[0-9]{3}-[0-9]{3}-[0-9]{4}", m):
+        code = re.match("\\+[0-9]{1,3}(?=[^0-9])", m)
+        code = code[0] if code else ""
+        return "phone", code + _characters(m[len(code) :], _DIGITS, key, "phone")
+    if _luhn_digit(digits[:-1]) != digits[-1]:
+        return "card", m
+    body = _text_network(digits[:-1], _DIGITS, key, "card")
+    return "card", _fill(m, body + _luhn_digit(body), _DIGITS)
+
+
+_PERSONAL = re.compile(
+    r"""(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])
+    |(?<![A-Za-z0-9])(?i:token|secret|passw(?:or)?d|passphrase|pwd|(?:api|access|auth|private)[_-]?key)\s{0,4}[=:]\s{0,4}["']?[A-Za-z0-9+/_-]{8,}
+    |(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])
+    |(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])
+    |(?<![0-9+])\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])
+    |(?<![0-9A-Za-z])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])
+    |(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])
+    |(?<![0-9.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9-])""",
+    re.X,
+)
+
+
+def pseudonymise(text, key):
+    """Text and the kinds replaced in it."""
+    kinds = []
+
+    def swap(m):
+        kind, new = _one(m[0], key)
+        if new != m[0]:
+            kinds.append(kind)
+        return new
+
+    return (None, []) if text is None else (_PERSONAL.sub(swap, text), kinds)
