@@ -1,9 +1,12 @@
 """Chat formatting with a compiled, sandboxed template language.
 
 A template is parsed to a syntax tree, constants are folded, and what is left becomes Python
-closures. The language has text, {{ expression }}, for, if/elif/else, set, and generation
-blocks, whose output is marked as what a model is trained on. Expressions reach mapping keys
-and the listed filters only: no attributes, calls, imports or unbounded loops.
+closures. The language has text, {{ expression }}, for, if/elif/else, set, {# comments #}, and
+generation blocks, whose output is marked as what a model is trained on. A - at the inner side of
+a mark ({%- -%}, {{- -}}, {#- -#}) strips the white space of the text beside it. Expressions reach
+mapping keys and the listed filters only: no attributes, calls or imports. Loops, nesting, numbers
+and the sizes of texts are bounded (a text by what the conversation itself holds), also while
+constants are folded, and whatever goes wrong is a TemplateError.
 
 Defined results: a null role or text is empty; turns come in the order of (turn, role, text),
 nulls first, repeated rows each as a turn of its own; a null conversation id is a conversation;
@@ -52,6 +55,11 @@ class TemplateError(ValueError):
     """A template that doesn't parse, or asks for something outside the language."""
 
 
+#: Levels of nesting; rounds of all loops of a rendering; the largest number; characters that a
+#: template may make of its own, and for each character of the conversation.
+MOST_DEPTH, MOST_ROUNDS, MOST_NUMBER, MOST_CHARS, MOST_GROWTH = 50, 10_000_000, 1 << 62, 1 << 24, 8
+_FAULTS = (TypeError, ValueError, ArithmeticError, LookupError, AttributeError, RecursionError, MemoryError)
+
 FILTERS: dict[str, Callable] = {"escape": escape, "escape_line": escape_line, "trim": str.strip, "upper": str.upper, "lower": str.lower, "length": len}
 
 
@@ -116,10 +124,65 @@ class Generation:
     body: tuple
 
 
-_BINARY = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "+": operator.add, "-": operator.sub, "%": operator.mod, "~": lambda a, b: _text(a) + _text(b), "in": lambda a, b: a in b}
+class _Budget:
+    """What is left of a rendering's limits; it stands in the variables under the empty name."""
+
+    def __init__(self, chars: int, rounds: int):
+        self.chars, self.out, self.rounds = chars, chars, rounds
+
+    def text(self, size: int) -> None:
+        if size > self.chars:
+            raise TemplateError("a text grows beyond its limit")
+
+    def emit(self, size: int) -> None:
+        self.out -= size
+        if self.out < 0:
+            raise TemplateError("the output grows beyond its limit")
+
+    def round(self) -> None:
+        self.rounds -= 1
+        if self.rounds < 0:
+            raise TemplateError("too many rounds")
+
+
+def _chars(x: object) -> int:
+    """Characters that a variable holds, containers included."""
+    if isinstance(x, str):
+        return len(x)
+    if isinstance(x, dict):
+        return sum(map(_chars, x.values())) + 16 * len(x)
+    return sum(map(_chars, x)) + 16 * len(x) if isinstance(x, (list, tuple)) else 16
+
+
+def _join(a: object, b: object, budget: _Budget) -> str:
+    a, b = _text(a), _text(b)
+    budget.text(len(a) + len(b))
+    return a + b
+
+
+def _number(run: Callable) -> Callable:
+    def made(a: object, b: object, budget: _Budget) -> int:
+        if not (isinstance(a, int) and isinstance(b, int)):
+            raise TemplateError("numbers only")
+        n = run(a, b)
+        if abs(n) > MOST_NUMBER:
+            raise TemplateError("a number grows beyond its limit")
+        return n
+
+    return made
+
+
+def _plain(run: Callable) -> Callable:
+    return lambda a, b, budget: run(a, b)
+
+
+_add = _number(operator.add)
+_BINARY = {x: _plain(f) for x, f in (("==", operator.eq), ("!=", operator.ne), ("<", operator.lt), ("<=", operator.le), (">", operator.gt), (">=", operator.ge), ("in", lambda a, b: a in b))}
+_BINARY |= {"-": _number(operator.sub), "%": _number(operator.mod), "~": _join, "+": lambda a, b, budget: _join(a, b, budget) if isinstance(a, str) and isinstance(b, str) else _add(a, b, budget)}
 _LEVELS = (("==", "!=", "<", "<=", ">", ">=", "in"), ("+", "-", "~"), ("%",))
 _TOKEN = re.compile(r"\s*(?:(\d+)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z][A-Za-z0-9_]*)|(==|!=|<=|>=|[-+~%<>|.\[\]()]))", re.S)
-_PART = re.compile(r"(\{\{.*?\}\}|\{%-?.*?-?%\})", re.S)
+_OPEN = re.compile(r"\{[{%#]")
+_INNER = {mark: re.compile(rf"""((?:'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|(?!-?{end})[^'"])*+)(-?){end}""", re.S) for mark, end in (("{{", r"\}\}"), ("{%", r"%\}"))}
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
 
@@ -147,7 +210,7 @@ class _Expression:
             else:
                 self.tokens.append(("mark", mark))
             at = m.end()
-        self.at = 0
+        self.at = self.depth = 0
 
     def peek(self, *texts: str) -> str | None:
         if self.at < len(self.tokens):
@@ -172,13 +235,20 @@ class _Expression:
         return tree
 
     def choice(self) -> object:
+        self.deeper()
         value = self.logic("or")
         if self.take("if"):
             test = self.logic("or")
             self.need("else")
-            return Op("?", (test, value, self.choice()))
+            value = Op("?", (test, value, self.choice()))
+        self.depth -= 1
         return value
 
+    def deeper(self) -> None:
+        self.depth += 1
+        if self.depth > MOST_DEPTH:
+            raise TemplateError("too deep")
+
     def logic(self, word: str) -> object:
         inner = (lambda: self.logic("and")) if word == "or" else self.negation
         tree = inner()
@@ -187,7 +257,12 @@ class _Expression:
         return tree
 
     def negation(self) -> object:
-        return Op("not", (self.negation(),)) if self.take("not") else self.level(0)
+        if not self.take("not"):
+            return self.level(0)
+        self.deeper()
+        tree = Op("not", (self.negation(),))
+        self.depth -= 1
+        return tree
 
     def level(self, k: int) -> object:
         if k == len(_LEVELS):
@@ -232,59 +307,88 @@ class _Expression:
         return Const(words[name]) if name in words else Name(name)
 
 
+def _parts(source: str) -> list[tuple[str, str]]:
+    """(mark, inner) pieces of a template, mark "" for text; comments and stripped space are gone."""
+    out, at, strip = [], 0, False
+    while at < len(source):
+        begin = _OPEN.search(source, at)
+        text = source[at : begin.start() if begin else len(source)]
+        text = text.lstrip() if strip else text
+        if begin and source[begin.end() : begin.end() + 1] == "-":
+            text = text.rstrip()
+        if text:
+            out.append(("", text))
+        if not begin:
+            break
+        body = begin.end() + (source[begin.end() : begin.end() + 1] == "-")
+        if begin[0] == "{#":
+            end = source.find("#}", body)
+            if end < 0:
+                raise TemplateError("a comment isn't closed")
+            strip, at = source[body:end].endswith("-"), end + 2
+            continue
+        m = _INNER[begin[0]].match(source, body)
+        if not m:
+            raise TemplateError(f"{begin[0]} isn't closed")
+        out.append((begin[0], m[1]))
+        strip, at = m[2] == "-", m.end()
+    return out
+
+
 def parse(source: str) -> tuple:
     """The syntax tree of a template."""
-    parts = [x for x in _PART.split(source) if x]
+    parts = _parts(source)
 
-    def block(at: int, *ends: str) -> tuple[tuple, int, str]:
+    def block(at: int, depth: int, *ends: str) -> tuple[tuple, int, str]:
+        if depth > MOST_DEPTH:
+            raise TemplateError("too deep")
         out: list = []
         while at < len(parts):
-            part = parts[at]
+            mark, inner = parts[at]
             at += 1
-            if part.startswith("{{"):
-                out.append(Emit(_Expression(part[2:-2]).whole()))
+            if mark != "{%":
+                out.append(Emit(_Expression(inner).whole() if mark else Const(inner)))
                 continue
-            if not part.startswith("{%"):
-                out.append(Emit(Const(part)))
-                continue
-            words = part[2:-2].strip("-").strip()
-            head, _, rest = words.partition(" ")
+            head, rest = (inner.split(None, 1) + ["", ""])[:2]
+            rest = rest.strip()
             if head in ends:
-                return tuple(out), at, words
+                if rest and head != "elif":
+                    raise TemplateError(f"unexpected {rest!r}")
+                return tuple(out), at, f"{head} {rest}".strip()
             if head == "for":
-                m = re.fullmatch(r"([A-Za-z]\w*) in (.+)", rest.strip(), re.S)
+                m = re.fullmatch(r"([A-Za-z]\w*)\s+in\s+(.+)", rest, re.S)
                 if not m:
-                    raise TemplateError(f"cannot read {words!r}")
-                body, at, _ = block(at, "endfor")
+                    raise TemplateError(f"cannot read {inner!r}")
+                body, at, _ = block(at, depth + 1, "endfor")
                 out.append(For(m[1], _Expression(m[2]).whole(), body))
             elif head == "if":
-                node, at = branch(at, rest)
+                node, at = branch(at, depth + 1, rest)
                 out.append(node)
             elif head == "set":
-                m = re.fullmatch(r"([A-Za-z]\w*)\s*=(.+)", rest.strip(), re.S)
+                m = re.fullmatch(r"([A-Za-z]\w*)\s*=(.+)", rest, re.S)
                 if not m:
-                    raise TemplateError(f"cannot read {words!r}")
+                    raise TemplateError(f"cannot read {inner!r}")
                 out.append(Set(m[1], _Expression(m[2]).whole()))
-            elif head == "generation":
-                body, at, _ = block(at, "endgeneration")
+            elif head == "generation" and not rest:
+                body, at, _ = block(at, depth + 1, "endgeneration")
                 out.append(Generation(body))
             else:
-                raise TemplateError(f"no statement {head!r}")
+                raise TemplateError(f"no statement {inner!r}")
         if ends:
             raise TemplateError(f"missing {ends[-1]}")
         return tuple(out), at, ""
 
-    def branch(at: int, test: str) -> tuple[If, int]:
-        yes, at, end = block(at, "elif", "else", "endif")
+    def branch(at: int, depth: int, test: str) -> tuple[If, int]:
+        yes, at, end = block(at, depth, "elif", "else", "endif")
         no: tuple = ()
         if end.startswith("elif"):
-            node, at = branch(at, end[4:])
+            node, at = branch(at, depth + 1, end[4:])
             no = (node,)
         elif end == "else":
-            no, at, _ = block(at, "endif")
+            no, at, _ = block(at, depth, "endif")
         return If(_Expression(test).whole(), yes, no), at
 
-    return block(0)[0]
+    return block(0, 0)[0]
 
 
 def fold(node: object) -> object:
@@ -327,10 +431,7 @@ def fold(node: object) -> object:
 
 
 def _constant(node: object) -> Const:
-    try:
-        return Const(_value(node)({}))
-    except TypeError as e:
-        raise TemplateError(str(e)) from None
+    return Const(_value(node)({"": _Budget(1 << 20, 0)}))
 
 
 def _value(node: object) -> Callable[[dict], object]:
@@ -363,7 +464,13 @@ def _value(node: object) -> Callable[[dict], object]:
         run, arg = FILTERS[node.name], _value(node.arg)
         if node.name == "length":
             return lambda env: run(arg(env))
-        return lambda env: run(_text(arg(env)))
+
+        def filtered(env: dict) -> str:
+            made = run(_text(arg(env)))
+            env[""].text(len(made))
+            return made
+
+        return filtered
     args = [_value(a) for a in node.args]
     if node.op == "not":
         return lambda env: not args[0](env)
@@ -374,7 +481,7 @@ def _value(node: object) -> Callable[[dict], object]:
     if node.op == "?":
         return lambda env: args[1](env) if args[0](env) else args[2](env)
     run2 = _BINARY[node.op]
-    return lambda env: run2(args[0](env), args[1](env))
+    return lambda env: run2(args[0](env), args[1](env), env[""])
 
 
 Writer = Callable[[dict, list, bool], None]
@@ -392,7 +499,13 @@ def _statement(node: object) -> Writer:
         return run
     if isinstance(node, Emit):
         value = _value(node.expr)
-        return lambda env, out, masked: out.append((_text(value(env)), masked))
+
+        def emit(env: dict, out: list, masked: bool) -> None:
+            text = _text(value(env))
+            env[""].emit(len(text))
+            out.append((text, masked))
+
+        return emit
     if isinstance(node, Set):
         name, value = node.name, _value(node.expr)
         return lambda env, out, masked: env.__setitem__(name, value(env))
@@ -409,6 +522,7 @@ def _statement(node: object) -> Writer:
         if not isinstance(rows, (list, tuple)):
             raise TemplateError("for needs a list")
         for k, x in enumerate(rows):
+            env[""].round()
             body(env | {name: x, "loop": {"index0": k, "index": k + 1, "first": k == 0, "last": k + 1 == len(rows)}}, out, masked)
 
     return loop
@@ -417,11 +531,18 @@ def _statement(node: object) -> Writer:
 @lru_cache(maxsize=32)
 def compile_template(source: str) -> Callable[..., tuple[str, list[tuple[int, int]]]]:
     """A function of the template's variables: the text, and the code point ranges under the mask."""
-    write = _statement(fold(parse(source)))
+    try:
+        write = _statement(fold(parse(source)))
+    except _FAULTS as e:
+        raise e if isinstance(e, TemplateError) else TemplateError(f"{type(e).__name__}: {e}") from None
 
     def render(**variables: object) -> tuple[str, list[tuple[int, int]]]:
         parts: list[tuple[str, bool]] = []
-        write(dict(variables), parts, False)
+        budget = _Budget(MOST_CHARS + (MOST_GROWTH + len(source)) * _chars(variables), MOST_ROUNDS)
+        try:
+            write(dict(variables) | {"": budget}, parts, False)
+        except _FAULTS as e:
+            raise e if isinstance(e, TemplateError) else TemplateError(f"{type(e).__name__}: {e}") from None
         at, spans = 0, []
         for text, masked in parts:
             if masked and text:

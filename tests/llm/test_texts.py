@@ -79,6 +79,31 @@ def test_escapes_undo():
         assert chat.unescape(e) == t and not any(c in e for c in chat.CONTROL)
 
 
+def test_white_space_and_comments():
+    run = lambda src, **v: chat.compile_template(src)(**v)[0]
+    assert run("a {%- if true -%} b {%- endif %} c") == "ab c"
+    assert run("a {{- 'x' -}} b{# note }} %} #} c {#- gone -#} d") == "axb cd"
+    assert run("{{ '}}' }}{{ \"%}\" ~ '{{' }}{% if '%}' == '%}' %}y{% endif %}") == "}}%}{{y"
+    assert run("{%- for x in xs -%}\n {{ x }} \n{%- endfor -%}\n", xs=[1, 2]) == "12"
+    assert run("{{ 7 % 4 - 1 }}") == "2"
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["{{ '%999999999d' % 1 }}", "{{ 1 % 0 }}", "{{ " + "(" * 5000 + "1" + ")" * 5000 + " }}", "{% if true %}" * 3000 + "{% endif %}" * 3000, "{{ " + "not " * 9000 + "1 }}", "{{ " + "9" * 6000 + " }}", "{# open", "{{ 'open }}", "{% if true", "{{ 1 < 'a' }}", "{{ 1 | length }}", "{{ none + 1 }}", "{% endif now %}", "{% generation x %}{% endgeneration %}", "{{ " + "~".join(["'" + "x" * 1000 + "'"] * 2000) + " }}", "{% for x in 'abc' %}{% endfor %}", "{% set a = 4611686018427387904 %}{{ a + a }}", "{{ m[n] }}"],
+)
+def test_faults_are_template_errors(source):
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(source)(m={}, xs=[])
+
+
+def test_templates_cannot_reserve_memory():
+    rows = [{"role": "user", "text": "ab"}] * 60
+    for source in ("{% set a = 'xxxxxxxx' %}" + "{% set a = a ~ a %}" * 60 + "{{ a }}", "{% for a in xs %}" * 5 + "x" + "{% endfor %}" * 5, "{% set a = xs[0].text %}{% for x in xs %}{{ a }}{{ a ~ a ~ a }}{% endfor %}" + "{% set a = a ~ a ~ a ~ a %}" * 40):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(source)(xs=rows)
+
+
 def test_language():
     run = lambda src, **v: chat.compile_template(src)(**v)[0]
     assert run("{{ 1 + 2 }}{{ 'a' ~ 'b' | upper }}") == "3aB"
