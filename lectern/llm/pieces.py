@@ -7,9 +7,15 @@ a BPE model it is taken over the pieces that merging could leave side by side, o
 one remains at each end: pieces s and t stay apart just when merging their joint text gives s
 and t again, and a sequence is the model's own just when all its neighbours stay apart.
 
+Longer words are cut where no piece holds the two characters around the cut, and filled up to a
+common length, which changes nothing before the filling. Very long ones become many rows of equal
+length that overlap: what ends at a position depends on the last few ends before it alone, so two
+rows that agree on those agree from there on. Where they don't, the later row is computed again
+from the earlier one's ends.
+
 Not supported, load() raises: a normalisation map, removal of extra white space (both defaults of
-trained models), unescaped white space or white space as suffix, user-defined pieces, and pieces
-that cross words.
+trained models), no dummy prefix, unescaped white space or white space as suffix, user-defined
+pieces, and pieces that cross words.
 
 Defined results: null and empty texts have no ids and decode to the empty text; characters
 outside the vocabulary become byte pieces, or the unknown id where a model has none; strings of
@@ -37,7 +43,14 @@ from .kernel import mix
 SPACE = "▁"
 #: Words in a worker's cache; longer words are encoded each time.
 CACHE, LONGEST = 160_000, 64
-_NONE = -1
+#: Words up to EXACT characters advance with those of equal length, others with those of a similar one.
+EXACT, GROWTH = 20, 1.15
+#: Longer words are computed in overlapping rows: own characters of a row, and those before them in
+#: multiples of the longest piece.
+STEP, OVERLAP = 480, 6
+#: Rows computed at a time.
+ROWS = 2048
+_NONE, _FILL = -1, 0x10FFFF + 1
 _BASE = 0x9E3779B97F4A7C15 & ~7 | 5
 
 
@@ -75,6 +88,7 @@ class Pieces:
     pair_keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     pair_ids: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     odd: np.ndarray = field(default_factory=lambda: np.empty(0, bool))
+    inner: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # neighbours inside pieces, sorted
 
 
 def hash_strings(texts: list[str]) -> np.ndarray:
@@ -111,8 +125,8 @@ def load(path: str) -> Pieces:
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
     spec = proto.normalizer_spec
-    if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
-        raise ValueError("only models without normalisation are supported")
+    if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not spec.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("only models without normalisation, and with a dummy prefix, are supported")
     kinds = pb.ModelProto.SentencePiece
     pieces, scores = [p.piece for p in proto.pieces], np.array([p.score for p in proto.pieces])
     normal = np.array([p.type in (kinds.NORMAL, kinds.USER_DEFINED) for p in proto.pieces])
@@ -131,6 +145,8 @@ def load(path: str) -> Pieces:
     out = Pieces(pieces, scores, bpe, byte_ids, proto.trainer_spec.unk_id, spec.add_dummy_prefix, keys[order], ids[order], max(len(pieces[k]) for k in ids))
     if bpe:
         _merges(out, ids)
+    pairs = {ord(a) << 21 | ord(b) for k in ids for a, b in zip(pieces[k], pieces[k][1:])}
+    out.inner = np.array(sorted(pairs), np.int64)
     return out
 
 
@@ -244,20 +260,108 @@ class Encoder:
 
     def words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word. A word is a string of characters with spaces as SPACE."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
-        size = np.array([len(w) for w in words])
-        for n in np.unique(size):
-            if n:
-                rows = np.flatnonzero(size == n)
-                step = max(1, (1 << 20) // int(n))
-                for lo in range(0, len(rows), step):
-                    part = rows[lo : lo + step]
-                    codes = np.frombuffer("".join([words[k] for k in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
-                    for k, ids in zip(part.tolist(), self._equal(codes)):
-                        out[k] = ids
-        return out
-
-    def _equal(self, codes: np.ndarray) -> list[np.ndarray]:
+        out: list[list[np.ndarray]] = [[] for _ in words]
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for k, w in enumerate(words):
+            codes = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
+            for part in self._cut(codes) if len(codes) > EXACT else (codes,):
+                if len(part):
+                    at = len(out[k])
+                    out[k].append(part)
+                    by_size.setdefault(self._room(len(part)), []).append((k, at))
+        for n, rows in by_size.items():
+            if n > 2 * STEP:
+                for k, at in rows:
+                    out[k][at] = self._long(out[k][at])
+                continue
+            step = max(1, (1 << 20) // n)
+            for lo in range(0, len(rows), step):
+                part = rows[lo : lo + step]
+                codes = np.full((len(part), n), _FILL, np.uint32)
+                size = np.array([len(out[k][at]) for k, at in part])
+                codes[np.arange(n) < size[:, None]] = np.concatenate([out[k][at] for k, at in part])
+                last, back = self._ends(codes)
+                for (k, at), ids in zip(part, self._trace(codes, size, last, back)):
+                    out[k][at] = ids
+        # Characters without a piece are one unknown id where several meet, also over a cut.
+        return [self._join(x) for x in out]
+
+    @staticmethod
+    def _room(n: int) -> int:
+        return n if n <= EXACT else int(np.ceil(EXACT * GROWTH ** np.ceil(np.log(n / EXACT) / np.log(GROWTH) - 1e-9)))
+
+    def _cut(self, codes: np.ndarray) -> list[np.ndarray]:
+        """The word in parts that no piece joins."""
+        pair = codes[:-1].astype(np.int64) << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.v.inner, pair), len(self.v.inner) - 1)
+        free = self.v.inner[at] != pair if len(self.v.inner) else np.ones(len(pair), bool)
+        # Short parts stay together: only every cut after EXACT characters is made.
+        cuts, edge = [0], 0
+        for c in (np.flatnonzero(free) + 1).tolist():
+            if c - edge >= EXACT:
+                cuts.append(c)
+                edge = c
+        return [codes[a:b] for a, b in zip(cuts, [*cuts[1:], len(codes)])]
+
+    def _join(self, parts: list[np.ndarray]) -> np.ndarray:
+        if len(parts) < 2:
+            return parts[0] if parts else np.empty(0, np.int32)
+        ids = np.concatenate(parts)
+        if self.v.byte_ids[0] < 0:
+            again = np.zeros(len(ids), bool)
+            again[1:] = (ids[1:] == self.v.unknown) & (ids[:-1] == self.v.unknown)
+            ids = ids[~again]
+        return ids
+
+    def _long(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of one long word, by overlapping rows of equal length."""
+        v, n = self.v, len(codes)
+        over, deep = OVERLAP * v.longest, v.longest
+        if not v.bpe:  # sums of scores don't settle in this way
+            last, back = self._ends(codes[None])
+            return self._trace(codes[None], np.array([n]), last, back)[0]
+        rows = -(-max(n - over, 1) // STEP)
+
+        def computed(first: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+            """ROWS rows from the first on, each begun `shift` characters early."""
+            table = np.full((min(ROWS, rows - first), STEP + over + shift), _FILL, np.uint32)
+            for k in range(len(table)):
+                at = (first + k) * STEP
+                part = codes[max(0, at - shift) : at + STEP + over]
+                table[k, : len(part)] = part
+            return self._ends(table)
+
+        def agrees(last: np.ndarray, k: int, shift: int) -> bool:
+            edge = over + shift + 1
+            return np.array_equal(last[edge - deep : edge], ends[k * STEP + over + 1 - deep : k * STEP + over + 1])
+
+        ends, starts, done = np.empty(n + 1, np.int32), np.empty(n + 1, np.int32), {}
+        for k in range(rows):
+            if k % ROWS == 0:
+                first, done = k, {0: computed(k, 0)}
+            lo, hi = (0 if k == 0 else over + 1), min(STEP + over, n - k * STEP)
+            shift = next((s for s in done if not k or agrees(done[s][0][:, k - first], k, s)), None)
+            if shift is None:  # runs of one pattern agree when begun at its own places
+                tries = np.stack([np.concatenate((codes[k * STEP - s : k * STEP + over], np.full(deep - s, _FILL, np.uint32))) for s in range(deep)])
+                last, _ = self._ends(tries)
+                shift = next((s for s in range(deep) if s not in done and agrees(last[:, s], k, s)), None)
+                if shift is not None:
+                    done[shift] = computed(first, shift)
+            if shift is None:
+                last, back = self._ends(codes[None, k * STEP : k * STEP + STEP + over], ends[k * STEP : k * STEP + over + 1])
+                mine, from_, shift = last[:, 0], back[:, 0], 0
+            else:
+                done = {shift: done.pop(shift)} | done  # the one that served last comes first
+                mine, from_ = (x[:, k - first] for x in done[shift])
+            ends[k * STEP + lo : k * STEP + hi + 1] = mine[lo + shift : hi + shift + 1]
+            starts[k * STEP + lo : k * STEP + hi + 1] = from_[lo + shift : hi + shift + 1] + (k * STEP - shift)
+        return self._trace(codes[None], np.array([n]), ends[:, None], starts[:, None])[0]
+
+    def _ends(self, codes: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each end position and row the piece that ends there, and where it starts.
+
+        known: what ends at the first positions of the only row, which then goes on from there.
+        """
         v, (rows, n) = self.v, codes.shape
         pow_, inv = _powers(n + 1)
         run = np.zeros((n + 1, rows), np.uint64)
@@ -268,7 +372,12 @@ class Encoder:
         best = np.full((n + 1, rows), -np.inf)
         best[0] = 0
         floor = float(v.scores.min()) - 10
-        for end in range(1, n + 1):
+        begin = 1
+        if known is not None:
+            begin = len(known)
+            last[:begin, 0] = known
+            best[:begin] = 0
+        for end in range(begin, n + 1):
             top = np.full(rows, -np.inf)
             for size in range(min(end, v.longest), 0, -1):
                 start = end - size
@@ -306,12 +415,17 @@ class Encoder:
                 last[end, lone] = _NONE
                 back[end, lone] = end - 1
             best[end] = top
-        return self._trace(codes, last, back)
+        return last, back
 
-    def _trace(self, codes: np.ndarray, last: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
+    def _trace(self, codes: np.ndarray, size: np.ndarray, last: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
         rows, n = codes.shape
         path = np.full((n, rows), -2, np.int64)  # ids at the positions where they end
-        at, live = np.full(rows, n), np.arange(rows)
+        at, live = size.copy(), np.arange(rows)
+        if rows == 1:  # one long word: a step for each piece
+            ends, starts, e = last[:, 0].tolist(), back[:, 0].tolist(), int(size[0])
+            while e > 0:
+                path[e - 1, 0], e = ends[e], starts[e]
+            live = live[:0]
         while len(live):
             path[at[live] - 1, live] = last[at[live], live]
             at[live] = back[at[live], live]

@@ -62,6 +62,56 @@ def test_encoding_equals_the_library(library, vocabulary):
         assert decoder.text(np.array(ids, np.int32)) == want
 
 
+def long_words():
+    rng = random.Random(9)
+    letters, cjk = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + 7 * k) for k in range(900))
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    out = [pick(letters, n) for n in (21, 25, 400, 950, 961, 1056, 1057, 5000)]
+    out += ["a" * n for n in (500, 961, 3001, 9999)] + ["ab" * 2500, "the" * 1500, "=" * 4001, "0" * 3000, "-" * 2000 + "x" * 2000]
+    out += [pick(cjk, 3000), pick(cjk + letters + "0123456789+/", 6000), pick(letters + letters.upper() + "0123456789+/", 8000), pick("et", 4000), pick("日本語", 2500) + "é🙂" * 900, "x" * 1500 + "\n" + "internationalization" * 200]
+    return out
+
+
+def test_long_words_equal_the_library(library, vocabulary, monkeypatch):
+    words = long_words()
+    want = library.encode(words, num_threads=1)
+    for step, overlap in ((480, 6), (40, 2), (31, 1)):  # rows that agree, and rows that don't
+        monkeypatch.setattr(pieces, "STEP", step)
+        monkeypatch.setattr(pieces, "OVERLAP", overlap)
+        monkeypatch.setattr(pieces, "ROWS", 2048 if step == 480 else 7)
+        got = pieces._Cache(pieces.Encoder(vocabulary)).texts(words)
+        for w, g, x in zip(words, got, want):
+            assert np.frombuffer(g, np.int32).tolist() == x, (step, w[:30], len(w))
+
+
+def test_a_megabyte_without_spaces(library, vocabulary):
+    import time
+
+    rng = random.Random(1)
+    for chars in ("abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + k) for k in range(3000)), "a"):
+        text = "".join(rng.choices(chars, k=1_000_000 // len(chars[0].encode())))
+        start = time.process_time()
+        got = np.frombuffer(pieces._Cache(pieces.Encoder(vocabulary)).texts([text])[0], np.int32)
+        took = time.process_time() - start
+        assert got.tolist() == library.encode(text) and took < 20, (chars[:3], took)
+
+
+def test_refused_models(tmp_path, spark, docs):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(counts.default_model(), "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.normalizer_spec.add_dummy_prefix = False
+    path = str(tmp_path / "m.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    with pytest.raises(ValueError):
+        pieces.load(path)
+    with pytest.raises(ValueError):
+        counts.token_counts(docs, path)
+
+
 def test_cache_generations(library, vocabulary, monkeypatch):
     monkeypatch.setattr(pieces, "CACHE", 30)
     encoder = pieces._Cache(pieces.Encoder(vocabulary))
