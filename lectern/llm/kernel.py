@@ -1,15 +1,21 @@
 """Vectorised word kernels on UTF-8 bytes: spans, word hashes, window hashes.
 
 A word hash is a polynomial over random byte weights modulo 2**64, read off a running sum, so
-that one pass over the bytes serves every word. Window hashes repeat the step over words.
+that one pass over the bytes serves every word. Such polynomials have texts of 1,024 letters and
+more that collide for any base, so words of more than LONG bytes are hashed by BLAKE2b instead.
+Window hashes repeat the polynomial over words, of which no window holds that many.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
 _SEGMENT = 1 << 19
+#: Bytes of the longest word that the polynomial hashes.
+LONG = 32
 
 
 def _weights(seed: int) -> np.ndarray:
@@ -107,7 +113,14 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool
             s = start[lo:hi] - a
             out[lo:hi] = (run[end[lo:hi] - a] - run[s]) * inv[s]
             lo = hi
-        return mix(out + (end - start).astype(np.uint64))
+        out = mix(out + (end - start).astype(np.uint64))
+    long = np.flatnonzero(end - start > LONG)
+    if len(long):
+        view, key = memoryview(np.ascontiguousarray(data)), seed.to_bytes(8, "little")
+        for k, a, b in zip(long.tolist(), start[long].tolist(), end[long].tolist()):
+            word = bytes(view[a:b])
+            out[k] = int.from_bytes(hashlib.blake2b(word.lower() if fold else word, digest_size=8, key=key).digest(), "little")
+    return out
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, size: np.ndarray | int, seed: int = 23) -> np.ndarray:
