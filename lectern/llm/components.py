@@ -21,13 +21,16 @@ def connected_components(edges: DataFrame, work: Workspace, most: int = 60) -> D
     now, mark = work.save(clean), None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        # Dealt anew, so that both sides of the joins are plain exchanges: a star of half of all
+        # nodes can be split.
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).repartition("a")
         # Large star: neighbours above a node point to the smallest node around it.
         large = both.join(low, "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: a node and its smaller neighbours point to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = work.save(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        small = large.join(least.repartition("a"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        before, now = now, work.save(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        work.drop(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break

@@ -3,14 +3,19 @@
 1. Documents with the same n-gram set form one class. Of every class a hash-chosen share of the
    n-grams is exchanged; n-grams found in one class alone are counted. A class with more than a
    quarter (at threshold 0.75) of such n-grams can link with nothing and is done.
-2. The remaining classes exchange all n-grams and learn how many of them hold each. That gives
-   several global orders, all rare first, with different ties. Two linked classes share an
-   n-gram of their prefixes under each of the orders.
-3. The first order's prefixes connect classes to candidate clusters; no pair is listed. A
-   cluster is cut into blocks, and each pair of blocks is one task: candidates are those that
-   share prefix n-grams under every order (intersected), and each of them is verified exactly.
+2. The remaining classes learn how many of them hold each of their n-grams. A batch of classes
+   asks once for each different n-gram, so that a very common one costs an entry for each batch
+   and not for each class. That gives several global orders, all rare first, with different ties.
+   Two linked classes share an n-gram of their prefixes under each of the orders.
+3. The first order's prefixes connect classes to candidate clusters; no pair is listed. Clusters
+   of more than a block are cut further by the second and third order's prefixes inside them.
+   What is still larger is cut into blocks, and each pair of blocks is one task: candidates are
+   those that share prefix n-grams under every order (intersected), and each of them is verified
+   exactly.
 4. Verified links give components.
 
+Classes are told apart by 128 bits, n-grams by 64.
+
 Defined results: null and wordless texts have no n-grams and link with nothing, so each is its
 own component; a text of fewer words than n is one n-gram; repeated rows share a class; a null
 id takes part in links and gets the smallest other id of its component, or null; other columns
@@ -27,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bucket_count, slices, text_column
+from .common import Workspace, bucket_count, slices, task_number, text_column
 from .components import connected_components
 from .kernel import NOT_SPACE, mix, ragged, spans, windows, word_hashes
 from .packed import bloom, bloom_slots, buckets, exchange, groups, may_hold, pack, ragged_binary, schema, unpack
 
 _BYTES = 3 << 20
 _NULL = np.iinfo(np.int64).min
-#: Classes of one block of a candidate cluster.
-BLOCK = 512
+#: Classes, and bytes of n-grams, of one block of a candidate cluster.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 #: Seeds of the tie-breaking hashes of the global orders.
 ORDERS = (101, 211, 307)
 _DOC = "doc_id long, c1 long, c2 long, n long, sampled long"
@@ -81,7 +86,7 @@ def _need(threshold: Fraction, n: np.ndarray) -> np.ndarray:
     return -(-threshold.numerator * n // threshold.denominator)
 
 
-def _survivors(docs: DataFrame, n: int, threshold: Fraction, share: float, work: Workspace, parts: int) -> tuple[DataFrame, DataFrame]:
+def _survivors(docs: DataFrame, n: int, threshold: Fraction, share: float, carried: list[str], work: Workspace, parts: int) -> tuple[DataFrame, DataFrame]:
     """The table of documents with their classes, and the classes that may link with others."""
     limit = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
@@ -95,7 +100,7 @@ def _survivors(docs: DataFrame, n: int, threshold: Fraction, share: float, work:
             ids = _longs(batch, "doc_id")
             # Document rows pass through the same exchange.
             at = buckets(mix(c1.view(np.uint64)), parts)
-            yield _rows(at, {"d": ids, "c1": c1, "c2": c2, "n": size, "s": np.diff(part)})
+            yield _rows(at, {"d": ids, "c1": c1, "c2": c2, "n": size, "s": np.diff(part)} | {c: _longs(batch, c) for c in carried})
             _, once = np.unique(c1, return_index=True)  # copies inside the batch count once
             row = np.repeat(np.arange(len(size)), np.diff(part))
             take = np.isin(row, once)
@@ -116,7 +121,7 @@ def _survivors(docs: DataFrame, n: int, threshold: Fraction, share: float, work:
             yield _rows(buckets(h[lead], parts), {"h": h[lead].astype(np.uint32), "o": owner[lead] * alone})
             yield _rows(buckets(mix(shared.view(np.uint64)), parts), {"k": shared, "v": counts})
 
-    names = ("h", "o", "k", "v", "d", "c1", "c2", "n", "s")
+    names = ("h", "o", "k", "v", "d", "c1", "c2", "n", "s", *carried)
 
     def _rows(bucket: np.ndarray, full: dict) -> pa.RecordBatch:
         made = pack(bucket, full)
@@ -141,23 +146,24 @@ def _survivors(docs: DataFrame, n: int, threshold: Fraction, share: float, work:
         k, v = np.unique(o[several], return_counts=True)
         k, v = np.concatenate([k, e["k"]]), np.concatenate([v, e["v"]])
         zero = np.zeros(len(k), np.int64)
-        yield _table(kind=np.ones(len(k), np.int32), doc_id=zero, c1=k, c2=zero, n=v, sampled=zero)
-        yield _table(kind=np.zeros(len(e["d"]), np.int32), doc_id=e["d"], c1=e["c1"], c2=e["c2"], n=e["n"], sampled=e["s"])
+        yield _table(kind=np.ones(len(k), np.int32), doc_id=zero, c1=k, c2=zero, n=v, sampled=zero, **dict.fromkeys(carried, zero))
+        yield _table(kind=np.zeros(len(e["d"]), np.int32), doc_id=e["d"], c1=e["c1"], c2=e["c2"], n=e["n"], sampled=e["s"], **{c: e[c] for c in carried})
 
-    sent = exchange(docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), "text").mapInArrow(scan, schema(*names)), parts)
-    both = work.save(sent.mapInArrow(count, f"kind int, {_DOC}"))
+    sent = exchange(docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), "text", *carried).mapInArrow(scan, schema(*names)), parts)
+    both = work.save(sent.mapInArrow(count, f"kind int, {_DOC}" + "".join(f", {c} long" for c in carried)))
     rows = both.where("kind = 0").drop("kind")
     shared = both.where("kind = 1").groupBy("c1").agg(F.sum("n").alias("shared"))
     classes = rows.where("n > 0").groupBy("c1", "c2", "n", "sampled").agg(F.min(F.when(F.col("doc_id") != _NULL, F.col("doc_id"))).alias("rep"), F.min("doc_id").alias("any"), F.count("*").alias("copies"))
     # alone > n - need: even if all else were common, too little would be.
     spare = F.col("n") - F.ceil(F.col("n") * threshold.numerator / threshold.denominator)
     alone = F.col("sampled") - F.least(F.coalesce("shared", F.lit(0)), F.col("sampled"))
-    kept = classes.join(shared, "c1", "left").where(alone <= spare).select("c1", "c2", "n", "any", "copies")
-    return rows, work.save(kept)
+    kept = classes.join(shared, "c1", "left").where(alone <= spare)
+    # Written with a number of its own for each class: one word that names it, and no two the same.
+    return rows, work.save(kept.select("c1", "c2", "n", "any", "copies", F.monotonically_increasing_id().alias("c")))
 
 
-def _orders(docs: DataFrame, kept: DataFrame, n: int, threshold: Fraction, parts: int) -> DataFrame:
-    """For each remaining class its shared n-grams and, as places among them, its prefixes under every order."""
+def _classes(docs: DataFrame, kept: DataFrame, n: int) -> DataFrame:
+    """The remaining classes with their n-grams, packed: batch, and c, n, m (copies), bounds, grams of its classes."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom(kept, "any"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,81 +173,103 @@ def _orders(docs: DataFrame, kept: DataFrame, n: int, threshold: Fraction, parts
                 batch = batch.take(pa.array(may))
                 grams, bounds = ngram_sets(batch, n)
                 c1, c2 = _signatures(grams, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("any")), pa.array(c1), pa.array(c2), ragged_binary(grams, bounds)], ["any", "c1", "c2", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), ragged_binary(grams, bounds)], ["c1", "c2", "grams"])
 
     ids = F.coalesce("doc_id", F.lit(_NULL)).alias("any")
-    found = docs.select(ids, "text").select("*", *bloom_slots("any")).mapInArrow(sets, "any long, c1 long, c2 long, grams binary")
+    found = docs.select(ids, "text").select("*", *bloom_slots("any")).mapInArrow(sets, "c1 long, c2 long, grams binary")
     # By class alone, so that the sets travel once; equal classes have equal sets.
-    found = found.groupBy("c1").agg(F.first("grams").alias("grams")).join(kept.select("c1", "n", "copies"), "c1")
+    found = found.groupBy("c1", "c2").agg(F.first("grams").alias("grams")).join(kept.select("c1", "c2", "c", "n", "copies"), ["c1", "c2"])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "grams", _BYTES):
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in enumerate(slices(batches, "grams", _BYTES)):
             raw, offs = text_column(batch, "grams")
-            g = np.frombuffer(raw.tobytes(), np.uint64)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(offs) // 8)
-            yield pack(buckets(g, parts), {"h": g, "k": _longs(batch, "c1")[row], "n": _longs(batch, "n")[row].astype(np.uint32), "m": _longs(batch, "copies")[row].astype(np.uint32)})
+            cols = [_longs(batch, c).astype(np.int64).tobytes() for c in ("c", "n", "copies")] + [(offs // 8).tobytes(), raw.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([task_number() << 32 | k]), *(pa.array([x], pa.binary()) for x in cols)], ["batch", "c", "n", "m", "bounds", "grams"])
+
+    return found.select("c", "n", "copies", "grams").mapInArrow(packed, "batch long, c binary, n binary, m binary, bounds binary, grams binary")
+
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = unpack(batches, h=np.uint64, k=np.int64, n=np.uint32, m=np.uint32)
+def _read(r: dict, *names: str) -> list[np.ndarray]:
+    return [np.frombuffer(r[c], np.uint64 if c in ("grams", "h") else np.uint32 if c == "f" else np.int64) for c in names]
+
+
+def _orders(classes: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
+    """For each remaining class its shared n-grams and, as places among them, its prefixes under every order."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                h, m = np.unique(_read(r, "grams")[0], return_counts=True)
+                yield pack(buckets(h, parts), {"h": h, "b": np.full(len(h), r["batch"]), "m": m.astype(np.uint32)})
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = unpack(batches, h=np.uint64, b=np.int64, m=np.uint32)
         order, group = groups(e["h"])
-        df = np.bincount(group)[group] if len(group) else np.empty(0, np.int64)
-        # A class with no shared n-gram at all needs no reply: it links with nothing.
+        df = np.bincount(group, e["m"][order])[group].astype(np.int64) if len(group) else np.empty(0, np.int64)
+        # An n-gram of one class alone needs no reply.
         take, f = order[df > 1], df[df > 1].astype(np.uint32)
         for lo in range(0, len(take), 1 << 20):
             t = take[lo : lo + (1 << 20)]
-            yield pack(buckets(mix(e["k"][t].view(np.uint64)), parts), {"h": e["h"][t], "k": e["k"][t], "n": e["n"][t], "m": e["m"][t], "f": f[lo : lo + (1 << 20)]})
+            yield pack(buckets(mix(e["b"][t].view(np.uint64)), parts), {"b": e["b"][t], "h": e["h"][t], "f": f[lo : lo + (1 << 20)]})
+
+    def by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = unpack(batches, b=np.int64, h=np.uint64, f=np.uint32)
+        order, _ = groups(e["b"], e["h"])
+        ids, at = np.unique(e["b"][order], return_index=True)
+        for i, lo, hi in zip(ids.tolist(), at.tolist(), [*at.tolist()[1:], len(order)]):
+            x = order[lo:hi]
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([e["h"][x].tobytes()], pa.binary()), pa.array([e["f"][x].tobytes()], pa.binary())], ["batch", "h", "f"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = unpack(batches, h=np.uint64, k=np.int64, n=np.uint32, m=np.uint32, f=np.uint32)
-        order, group = groups(e["k"], e["h"])
-        k = e["k"][order]
-        at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True]))) if len(k) else np.zeros(1, np.int64)
-        names = ["c1", "n", "copies", "grams", *(f"p{i}" for i in range(len(ORDERS)))]
-        out: dict[str, list] = {c: [] for c in names}
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-            x = order[a:b]
-            size, grams, df = int(e["n"][x[0]]), e["h"][x], e["f"][x]
-            need = int(_need(threshold, np.int64(size)))
-            if b - a < need:
-                continue
-            slots = size - need + 1 - (size - (b - a))  # n-grams of this class alone come first
-            out["c1"].append(k[a])
-            out["n"].append(size)
-            out["copies"].append(int(e["m"][x[0]]))
-            out["grams"].append(grams.tobytes())
-            for i, seed in enumerate(ORDERS):
-                # The second order ranks frequencies by their magnitude only, the third mixes both.
-                rank = df if i == 0 else np.log2(df).astype(np.int64) >> (i - 1)
-                out[f"p{i}"].append(np.lexsort((mix(grams ^ np.uint64(seed)), rank))[:slots].astype(np.uint32).tobytes())
-            if len(out["c1"]) == 2000:
-                yield _classes(out)
-                out = {c: [] for c in names}
-        yield _classes(out)
-
-    def _classes(out: dict[str, list]) -> pa.RecordBatch:
-        kinds = {"c1": pa.int64(), "n": pa.int64(), "copies": pa.int64()}
-        return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.binary())) for c, v in out.items()], list(out))
-
-    replies = exchange(exchange(found.mapInArrow(spread, schema("h", "k", "n", "m")), parts).mapInArrow(frequencies, schema("h", "k", "n", "m", "f")), parts)
-    return replies.mapInArrow(prefixes, "c1 long, n long, copies long, grams binary, " + ", ".join(f"p{i} binary" for i in range(len(ORDERS))))
-
-
-def _stars(classes: DataFrame, parts: int) -> DataFrame:
-    """Edges from the holders of a prefix n-gram to the smallest of them."""
+        names = ["c", "n", "copies", "grams", *(f"p{i}" for i in range(len(ORDERS)))]
+        kinds = {"c": pa.int64(), "n": pa.int64(), "copies": pa.int64()}
+        for batch in batches:
+            for r in batch.to_pylist():
+                c, n, m, bounds, grams, h, f = _read(r, "c", "n", "m", "bounds", "grams", "h", "f")
+                at = np.minimum(np.searchsorted(h, grams), len(h) - 1)
+                df = np.where(h[at] == grams, f[at], 0)
+                out: dict[str, list] = {x: [] for x in names}
+                for k, (a, b, size) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), n.tolist())):
+                    x = np.flatnonzero(df[a:b]) + a
+                    need = int(_need(threshold, np.int64(size)))
+                    if len(x) < need:
+                        continue
+                    slots = size - need + 1 - (size - len(x))  # n-grams of this class alone come first
+                    mine, d = grams[x], df[x]
+                    out["c"].append(int(c[k]))
+                    out["n"].append(size)
+                    out["copies"].append(int(m[k]))
+                    out["grams"].append(mine.tobytes())
+                    for i, seed in enumerate(ORDERS):
+                        # The second order ranks frequencies by their magnitude only, the third mixes both.
+                        rank = d if i == 0 else np.log2(d).astype(np.int64) >> (i - 1)
+                        out[f"p{i}"].append(np.lexsort((mix(mine ^ np.uint64(seed)), rank))[:slots].astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(x, pa.binary())) for x, v in out.items()], names)
+
+    asked = exchange(classes.select("batch", "grams").mapInArrow(ask, schema("h", "b", "m")), parts)
+    replies = exchange(asked.mapInArrow(answer, schema("b", "h", "f")), parts).mapInArrow(by_batch, "batch long, h binary, f binary")
+    # Batches without a reply hold no shared n-gram.
+    return classes.join(replies, "batch").mapInArrow(prefixes, "c long, n long, copies long, grams binary, " + ", ".join(f"p{i} binary" for i in range(len(ORDERS))))
+
+
+def _stars(classes: DataFrame, order: int, parts: int) -> DataFrame:
+    """Edges from the holders of a prefix n-gram in a cluster to the smallest of them (c, cluster, p, grams)."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "grams", _BYTES):
-            raw, offs = text_column(batch, "p0")
+            raw, offs = text_column(batch, "p")
             grams, starts = text_column(batch, "grams")
             per = np.diff(offs) // 4
             h = np.frombuffer(grams.tobytes(), np.uint64)[np.frombuffer(raw.tobytes(), np.uint32) + np.repeat(starts[:-1] // 8, per)]
-            k = np.repeat(_longs(batch, "c1"), per)
-            order, group = groups(h, k)
+            inside = mix(_longs(batch, "cluster").astype(np.int64).view(np.uint64))
+            h = mix(h ^ np.repeat(inside, per))
+            k = np.repeat(_longs(batch, "c"), per)
+            group_order, group = groups(h, k)
             new = np.ones(len(h), bool)
-            new[1:] = h[order][1:] != h[order][:-1]
-            lead = np.repeat(k[order][new], np.diff(np.append(np.flatnonzero(new), len(h))))
-            e = np.unique(np.stack([k[order], lead], 1)[k[order] != lead], axis=0)
-            low = order[new]  # one entry for each n-gram of the batch; the others follow their leader
+            new[1:] = h[group_order][1:] != h[group_order][:-1]
+            lead = np.repeat(k[group_order][new], np.diff(np.append(np.flatnonzero(new), len(h))))
+            e = np.unique(np.stack([k[group_order], lead], 1)[k[group_order] != lead], axis=0)
+            low = group_order[new]  # one entry for each n-gram of the batch; the others follow their leader
             yield _pair(pack(buckets(h[low], parts), {"h": h[low], "k": k[low]}), ("a", "b"))
             if len(e):
                 yield _pair(pack(buckets(mix(e[:, 0].view(np.uint64)), parts), {"a": e[:, 0], "b": e[:, 1]}), ("h", "k"))
@@ -253,15 +281,40 @@ def _stars(classes: DataFrame, parts: int) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = unpack(batches, h=np.uint64, k=np.int64, a=np.int64, b=np.int64)
-        order, _ = groups(e["h"], e["k"])
-        h, k = e["h"][order], e["k"][order]
+        by, _ = groups(e["h"], e["k"])
+        h, k = e["h"][by], e["k"][by]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         lead = np.repeat(k[new], np.diff(np.append(np.flatnonzero(new), len(h))))
         pairs = np.unique(np.concatenate([np.stack([k, lead], 1), np.stack([e["a"], e["b"]], 1)]), axis=0)
         yield _table(a=pairs[:, 0], b=pairs[:, 1])
 
-    return exchange(classes.select("c1", "p0", "grams").mapInArrow(ask, schema("h", "k", "a", "b")), parts).mapInArrow(join, "a long, b long")
+    return exchange(classes.select("c", "cluster", F.col(f"p{order}").alias("p"), "grams").mapInArrow(ask, schema("h", "k", "a", "b")), parts).mapInArrow(join, "a long, b long")
+
+
+def _clusters(classes: DataFrame, work: Workspace, parts: int) -> tuple[DataFrame, DataFrame]:
+    """node and root of candidate clusters, and root, size and bytes of each.
+
+    Linked classes share a prefix n-gram under every order, so parts of a cluster that share none
+    under a further order may be parted.
+    """
+    weights = classes.select(F.col("c").alias("node"), F.octet_length("grams").alias("bytes"))
+
+    def sized(now: DataFrame) -> DataFrame:
+        # Written, so that both sides of the joins with it are plain exchanges.
+        return work.save(now.join(weights, "node").groupBy("root").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes")))
+
+    now = connected_components(_stars(classes.withColumn("cluster", F.lit(0).cast("long")), 0, parts), work)
+    sizes = sized(now)
+    for order in range(1, len(ORDERS)):
+        large = sizes.where((F.col("size") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("root")
+        if large.isEmpty():
+            break
+        members = now.join(large, "root").select(F.col("node").alias("c"), F.col("root").alias("cluster"))
+        finer = connected_components(_stars(classes.join(members, "c"), order, parts), work)
+        now = work.save(now.join(large, "root", "left_anti").select("node", "root").unionByName(finer))
+        sizes = sized(now)
+    return now, sizes
 
 
 class _Lists:
@@ -287,8 +340,8 @@ class _Lists:
 
 def _verify(threshold: Fraction):
     def block(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_pylist() for c in ("c1", "n", "copies", "blk", "i", "j", "grams", *(f"p{i}" for i in range(len(ORDERS))))}
-        ids, n, copies, blk = (np.array(col[c], np.int64) for c in ("c1", "n", "copies", "blk"))
+        col = {c: table.column(c).to_pylist() for c in ("c", "n", "copies", "blk", "i", "j", "grams", *(f"p{i}" for i in range(len(ORDERS))))}
+        ids, n, copies, blk = (np.array(col[c], np.int64) for c in ("c", "n", "copies", "blk"))
         cross = col["i"][0] != col["j"][0]
         universe = np.unique(np.frombuffer(b"".join(col["grams"]), np.uint64))
         sizes = np.array([len(b) // 8 for b in col["grams"]], np.int64)
@@ -322,36 +375,48 @@ def _verify(threshold: Fraction):
                     links[hit] += copies[x]
                     joined = np.isin(root, np.append(root[hit], root[x]))
                     root[joined] = root[joined].min()
-        return pa.table({"c1": ids, "root": ids[root], "links": links})
+        return pa.table({"c": ids, "root": ids[root], "links": links})
 
     return block
 
 
-def link_documents(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(3, 4), share: float = 1 / 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(3, 4), share: float = 1 / 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links (documents that it links with).
 
     share: the part of each set that the first step exchanges; it must exceed 1 - threshold to
-    rule anything out, and steers cost alone.
+    rule anything out, and steers cost alone. carry: long columns to return with each row, after
+    `component`, a name that no two components share (ids of other rows may).
     """
     spark, threshold = docs.sparkSession, Fraction(threshold)
     work, parts = Workspace(spark, "links"), bucket_count(docs, 8 << 20)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows, kept = _survivors(texts, n, threshold, share, work, parts)
-    classes = work.save(_orders(texts, kept, n, threshold, parts))
-    clusters = connected_components(_stars(classes, parts), work)
-    # Written, so that both sides of the join are plain exchanges and a hot cluster can be split.
-    sizes = work.save(clusters.groupBy("root").agg(F.count("*").alias("size")))
-    cut = clusters.join(sizes, "root").select(F.col("node").alias("c1"), F.col("root").alias("cluster"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    cut = cut.withColumn("blk", F.pmod(F.xxhash64("c1", F.lit(5)), F.col("blocks")).cast("int"))
+    carried = [f"x{k}" for k in range(len(carry))]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(x) for c, x in zip(carry, carried)))
+    rows, kept = _survivors(texts, n, threshold, share, carried, work, parts)
+    classes = work.save(_orders(work.save(_classes(texts, kept, n)), threshold, parts))
+    clusters, sizes = _clusters(classes, work, parts)
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    cut = clusters.join(sizes.where("size > 1"), "root").select(F.col("node").alias("c"), F.col("root").alias("cluster"), blocks.alias("blocks"))
+    cut = cut.withColumn("blk", F.pmod(F.xxhash64("c", F.lit(5)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sides = classes.join(cut, "c1").select("*", other).withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")}).drop("other", "blocks")
-    found = work.save(sides.groupBy("cluster", "i", "j").applyInArrow(_verify(threshold), "c1 long, root long, links long"))
-    named = connected_components(found.select(F.col("c1").alias("a"), F.col("root").alias("b")), work)
-    links = found.groupBy("c1").agg(F.sum("links").alias("links"))
-    full = rows.where("n > 0").groupBy("c1").agg(F.min(F.when(F.col("doc_id") != _NULL, F.col("doc_id"))).alias("low"), F.count("*").alias("copies"))
-    full = work.save(full.join(named.withColumnRenamed("node", "c1"), "c1", "left").join(links, "c1", "left").withColumn("root", F.coalesce("root", "c1")))
-    low = work.save(full.groupBy("root").agg(F.min("low").alias("component_id")))
-    full = full.join(low, "root").select("c1", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    sides = classes.join(cut, "c").select("*", other).withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")}).drop("other", "blocks")
+    found = work.save(sides.groupBy("cluster", "i", "j").applyInArrow(_verify(threshold), "c long, root long, links long"))
+    named = connected_components(found.select(F.col("c").alias("a"), F.col("root").alias("b")), work)
+    links = found.groupBy("c").agg(F.sum("links").alias("links"))
     doc = F.when(F.col("doc_id") != _NULL, F.col("doc_id"))
-    single = rows.where("n = 0").select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), doc.alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return rows.where("n > 0").join(full, "c1").select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(single)
+    full = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(doc).alias("low"), F.count("*").alias("copies"))
+    full = full.join(kept.select("c1", "c2", "c"), ["c1", "c2"], "left").join(named.withColumnRenamed("node", "c"), "c", "left").join(links, "c", "left")
+    full = work.save(full)
+    # Most classes are their own component; only the others meet.
+    low = work.save(full.where("root is not null").groupBy("root").agg(F.min("low").alias("least")))
+    full = full.join(low, "root", "left").select(
+        "c1",
+        "c2",
+        F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.coalesce(F.concat(F.lit("links "), F.col("root").cast("string")), F.concat_ws(" ", F.lit("set"), F.hex("c1"), F.hex("c2"))).alias("component"),
+    )
+    more = ["component", *carried] if carry else []
+    single = rows.where("n = 0").select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), doc.alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("string").alias("component"), *carried)
+    linked = rows.where("n > 0").join(work.save(full), ["c1", "c2"]).select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links", "component", *carried)
+    out = ["doc_id", "n_shingles", "component_id", "n_links", *more]
+    return linked.select(*out).unionByName(single.select(*out)).withColumnsRenamed(dict(zip(carried, carry)))
