@@ -18,7 +18,7 @@ from lectern.llm.packed import split_by_ids
 from lectern.llm.pieces import round_trip
 from lectern.llm.pii import pseudonymise
 from lectern.llm.quality import keep_good
-from lectern.llm.queries import PII_KEY
+from lectern.llm.queries import pii_key
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -51,7 +51,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: personal data become pseudonyms of the same format and length."""
-    return pseudonymise(docs, PII_KEY, found_col="_pii").select(*docs.columns)
+    return pseudonymise(docs, pii_key(spark), found_col="_pii").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
