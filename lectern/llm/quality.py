@@ -6,7 +6,7 @@ result is put on a probability scale with the same training labels. Training row
 sample (POSITIVES, UNLABELLED), the smallest by a keyed hash of the id; scoring reads all rows.
 
 Defined results: null and empty texts get the score of a text without bytes; repeated rows get
-equal scores; ids labelled twice with different values teach nothing; without any positive or
+equal scores, and an id that repeats teaches once, by its smallest text; ids labelled twice with different values teach nothing; without any positive or
 any unlabelled text every score is 0.5; language, source, id and labels never enter a score.
 """
 
@@ -180,15 +180,15 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if share is None:
         return None
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = text.select("doc_id").where(F.col("doc_id").isNotNull())
+    ids = text.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
     chosen = [
         known.orderBy(order, "doc_id").limit(positives).select("doc_id", "y"),
         # Their labels, if any, stay unseen: y is -1 for them.
         ids.orderBy(F.xxhash64("doc_id", F.lit(77)), "doc_id").limit(unlabelled).select("doc_id", F.lit(-1).alias("y")),
     ]
     # Broadcast: at most positives + unlabelled ids.
-    sample = text.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    rows = _vectors(sample.select("text", "y")).limit(2 * (positives + unlabelled)).toArrow()
+    sample = text.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = _vectors(sample.select("text", "y")).toArrow()
     y = rows.column("y").to_numpy()
     x = np.concatenate([np.empty((0, N_FEATURES), np.float32), *(np.frombuffer(text_column(b, "x")[0].tobytes(), np.float32).reshape(-1, N_FEATURES) for b in rows.to_batches())])
     del rows
