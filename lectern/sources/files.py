@@ -27,10 +27,9 @@ def scan_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, pos (argument order) and content."""
-    order = {p: k for k, p in enumerate(paths)}
-    listed = spark.createDataFrame([(p, k) for p, k in order.items()], "given string, pos int")
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    """path, pos (argument order) and content; a path given twice gives two rows."""
+    listed = spark.createDataFrame([(p, k) for k, p in enumerate(paths)], "given string, pos int")
+    files = spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).select("path", "content")
     return files.join(F.broadcast(listed), F.regexp_replace("path", "^file:/*", "/") == F.regexp_replace("given", "^file:/*", "/")).select("path", "pos", "content")
 
 
