@@ -7,6 +7,7 @@ from .chat import CONTROL
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 
 
 def _words(name: str, table: str, key: str, text: str, pattern: str) -> str:
@@ -87,10 +88,24 @@ CONTAMINATION = f"""
     SELECT d.doc_id, coalesce(wn.n, 0) AS n_words, coalesce(hn.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(it.items, '')) AS items_sha256, coalesce(hn.n, 0) > 0 AS contaminated
     FROM documents d LEFT JOIN wn ON wn.doc_id = d.doc_id LEFT JOIN hn ON hn.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id"""
 
+RANKING = f"""
+    WITH {_words('w', 'documents', 'doc_id', _FOLD.format('text'), _TERMS)},
+    {_words('v', 'benchmark', 'item_id', _FOLD.format('text'), _TERMS)},
+    q AS (SELECT DISTINCT item_id, word FROM v),
+    d AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+    a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+    t AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word IN (SELECT word FROM q) GROUP BY 1, 2),
+    f AS (SELECT word, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, a GROUP BY word, docs),
+    s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words)))) AS BIGINT) AS score
+          FROM q JOIN t USING (word) JOIN f USING (word) JOIN d USING (doc_id), a GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
 ORACLES = {
     "op2_warc": ARCHIVE,
     "op5_jaccard_join": LINKS,
     "op6_chat_format": CHAT,
     "op7_substring_dedup": SUBSTRINGS,
     "op9_decontaminate": CONTAMINATION,
+    "op13_ranked_search": RANKING,
 }
