@@ -101,11 +101,31 @@ RANKING = f"""
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
     SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10"""
 
+# The unsigned CRC-32 of a run's id and text, bit by bit over its UTF-8 bytes.
+_BYTES = "flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))"
+VARIANTS = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, unnest(regexp_extract_all({_FOLD.format('text')}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+    u AS (SELECT doc_id, run, count(*) AS k, {_BYTES.format("doc_id || ':' || run")} AS b FROM w GROUP BY doc_id, run),
+    h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(8 * len(b)), lambda i: CAST((b[i // 8 + 1] >> (i % 8)) & 1 AS BIGINT))),
+                 lambda a, d: xor(a >> 1, 3988292384 * (xor(a, d) & 1))), 4294967295) AS h FROM u),
+    o AS (SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM h),
+    v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM o WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+    cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+    e AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT c.word, c.n, v.word, v.n FROM cut c JOIN v ON c.rest = v.word
+          UNION SELECT v.word, v.n, c.word, c.n FROM cut c JOIN v ON c.rest = v.word),
+    r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM e),
+    f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n
+          FROM v LEFT JOIN r ON r.word = v.word AND place = 1),
+    c(word, last) AS (SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.last WHERE f.form IS NOT NULL)
+    SELECT f.*, c.last AS root FROM f JOIN c ON c.word = f.word JOIN f AS z ON z.word = c.last AND z.form IS NULL"""
+
 ORACLES = {
     "op2_warc": ARCHIVE,
     "op5_jaccard_join": LINKS,
     "op6_chat_format": CHAT,
     "op7_substring_dedup": SUBSTRINGS,
     "op9_decontaminate": CONTAMINATION,
+    "op12_spelling_variants": VARIANTS,
     "op13_ranked_search": RANKING,
 }
