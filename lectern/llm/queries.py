@@ -88,6 +88,12 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scoring import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import group_variants
 
@@ -100,6 +106,6 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_token_counts, op4_pii, op5_jaccard_join, op6_chat_format, op7_substring_dedup, op8_quality, op9_decontaminate, op10_nearest, op12_spelling_variants, op13_ranked_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_token_counts, op4_pii, op5_jaccard_join, op6_chat_format, op7_substring_dedup, op8_quality, op9_decontaminate, op10_nearest, op11_lm_scores, op12_spelling_variants, op13_ranked_search)}
 
 __all__ = ["ORACLES", "QUERIES", "pii_key"]
