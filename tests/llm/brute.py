@@ -2,7 +2,9 @@
 
 import datetime
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -235,3 +237,57 @@ def pseudonymise(text, key):
         return new
 
     return (None, []) if text is None else (_PERSONAL.sub(swap, text), kinds)
+
+
+# --- words over a whole corpus ---------------------------------------------------------------
+
+
+def ranking(docs, items, k=10):
+    """[(id, text)], [(item, text)] -> {query number: [(item, rank, id, score)]}."""
+    words = [(i, Counter(ALNUM.findall(fold(t)))) for i, t in docs]
+    total, length = sum(bool(c) for _, c in words), sum(sum(c.values()) for _, c in words)
+    df = Counter(w for _, c in words for w in c)
+    out = {}
+    for q, (item, text) in enumerate(items):
+        scores = []
+        for i, c in words:
+            m = 100 - 90 + (90 * sum(c.values()) * total) // max(length, 1)
+            s = sum(math.floor(1000 * math.log((2 * total + 2) / (2 * df[w] + 1))) * ((1000000000 * c[w]) // (1000 * c[w] + 8 * m)) for w in set(ALNUM.findall(fold(text))) if c[w])
+            if s > 0:
+                scores.append((-s, i is None, i or 0, i))
+        out[q] = [(item, r + 1, x[3], -x[0]) for r, x in enumerate(sorted(scores)[:k])]
+    return out
+
+
+def variants(docs, shortest=5, least=3):
+    """[(id, text)] -> {word: (n, n_near, form, form_n, root)}, by comparing all pairs of words."""
+    seen = Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", fold(t)):
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            seen[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 97 == 0 else run] += 1
+    n = {w: c for w, c in seen.items() if len(w) >= shortest and c >= least}
+
+    def one_edit(a, b):
+        if a == b or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    near = {w: sorted((x for x in n if one_edit(w, x)), key=lambda x: (-n[x], x)) for w in n}
+    form = {w: near[w][0] if near[w] and n[near[w][0]] >= 2 * n[w] else None for w in n}
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return {w: (n[w], len(near[w]), form[w], n[form[w]] if form[w] else None, root(w)) for w in n}
+
+
+def base_scores(docs):
+    """[(id, text)] -> per row (id, held out, tokens, known, training tokens, base score)."""
+    rows = [(i, zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2, [*SPACED.findall(fold(t)), None]) for i, t in docs]
+    c = Counter(w for _, held, ws in rows if not held for w in ws)
+    total, size = sum(c.values()), len(c)
+    return [(i, held, len(ws), sum(c[w] > 0 for w in ws), total, sum(math.log10((c[w] + 1) / (total + size + 1)) for w in ws)) for i, held, ws in rows]
