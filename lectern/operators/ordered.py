@@ -42,6 +42,21 @@ def running_sum(df: DataFrame, value: Column, *order: Column | str, name: str =
     return rows.withColumn(name, local).join(F.broadcast(offsets), "_part").withColumn(name, F.col(name) + F.col("_off")).drop("_part", "_idx", "_off", "_v")
 
 
+def segmented_sum(df: DataFrame, value: Column, group: str, *order: Column | str, name: str = "running") -> DataFrame:
+    """As running_sum(), from the first row of each group: no group is drawn into one task.
+
+    Only the group that a partition begins with can have rows in earlier ones, so what is carried
+    over is one row for each partition at most.
+    """
+    rows = dealt(df.withColumn("_v", value), group, *order)
+    local = F.sum("_v").over(W.partitionBy("_part", group).orderBy("_idx").rowsBetween(W.unboundedPreceding, 0))
+    sums = rows.groupBy("_part", group).agg(F.sum("_v").alias("n"))
+    before = F.sum("n").over(W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    carried = sums.select("_part", F.col(group).alias("_g"), before.alias("_off")).where("_off is not null")
+    met = rows.withColumn(name, local).join(F.broadcast(carried), (rows["_part"] == carried["_part"]) & F.col(group).eqNullSafe(F.col("_g")), "left").drop(carried["_part"])
+    return met.withColumn(name, F.col(name) + F.coalesce("_off", F.lit(0))).drop("_part", "_idx", "_g", "_off", "_v")
+
+
 def queue_waits(calls: DataFrame, arrival: Column, duration: Column, *order: Column | str) -> DataFrame:
     """Waiting time of each call of a first-in first-out queue with one server, as column wait.
 

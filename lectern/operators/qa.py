@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import urllib.request
 from collections.abc import Iterator
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -13,11 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import bounded_split, document_budget, relevant, utrim
-from lectern.storage import steady, written
+from lectern.storage import Workspace, steady, written
+
+from .ordered import segmented_sum
+from .rope import pack_facts
 
 # What joins facts, and the longest generated answer in tokens.
 SEPARATOR = "\n---\n"
 NUM_PREDICT = 1536
+FACT_ENDS = rf"\.|{SEPARATOR}"
 
 
 class Generator(Protocol):
@@ -83,9 +88,12 @@ def fits(text: Column, context: Column) -> Column:
     return F.char_length(text) <= document_budget(context)
 
 
-def extract_sentence(piece: Column, word: str) -> Column:
-    """The deterministic extraction of the offline generator: the first sentence that holds the word, or NONE."""
-    hits = F.filter(F.split(piece, r"\."), lambda s: F.contains(s, F.lit(f" {word} ")))
+def extract_sentence(piece: Column, word: str, ends: str = r"\.") -> Column:
+    """The deterministic extraction of the offline generator: the first sentence that holds the word, or NONE.
+
+    ends: a pattern of what ends a sentence; joined facts end at their separator too (FACT_ENDS).
+    """
+    hits = F.filter(F.split(piece, ends), lambda s: F.contains(s, F.lit(f" {word} ")))
     return F.coalesce(utrim(F.get(hits, F.lit(0))), F.lit("NONE"))
 
 
@@ -116,24 +124,42 @@ def answer_all(groups: DataFrame, extractions: DataFrame, group: str, *order: st
     return groups.select(group).distinct().join(reduce_phase(extractions, group, *order), group, "left").select(group, F.coalesce("facts", F.lit("")).alias("facts"), F.coalesce("n_facts", F.lit(0).cast("bigint")).alias("n_facts"))
 
 
-def recursive_reduce(facts: DataFrame, group: str, budget: int, extract, text: str = "facts", most: int = 8) -> DataFrame:
-    """Map and reduce again while a group's joined facts exceed the budget: group, facts, rounds.
+def recursive_reduce(facts: DataFrame, group: str, order: str, budget: int, extract, excerpt: str = "excerpt", block: int | None = None) -> DataFrame:
+    """Pack and reduce facts until what a group says fits the budget: group, part, facts, first, last, rounds, over.
 
-    Rounds end when everything fits, nothing shrinks any more, or after `most`.
+    facts holds one row for each excerpt, numbered within its group. In each round neighbours are
+    packed up to `budget` characters, and every pack is extracted from again; an excerpt cites the
+    range of numbers that its pack came from. A group is done when one pack holds it all. One
+    that no longer shrinks is returned in parts, flagged `over`; one of which nothing relevant is
+    left has empty facts and cites nothing. Rounds have no limit: every one shrinks its groups.
     """
     steady(facts.sparkSession)
-    now = facts.select(group, F.col(text).alias("facts"), F.lit(0).cast("bigint").alias("rounds"))
-    for k in range(1, most + 1):
-        long = now.where(F.char_length("facts") > budget)
-        if long.isEmpty():
-            break
-        again = reduce_phase(map_phase(long, budget, extract, group, text="facts"), group, "chunk_index")
-        smaller = long.join(again.select(group, F.col("facts").alias("_less")), group).where(F.char_length("_less") < F.char_length("facts"))
-        smaller = smaller.select(group, F.col("_less").alias("facts"), F.lit(k).cast("bigint").alias("rounds"))
-        if smaller.isEmpty():
-            break
-        now = now.join(smaller.select(group), group, "left_anti").unionByName(smaller)
-    return now
+    work, gap = Workspace(facts.sparkSession, "reduce"), len(SEPARATOR)
+    # An excerpt over the budget comes in pieces that cite the same number.
+    cut = facts.select(group, F.col(order).alias("first"), F.posexplode(bounded_split(F.col(excerpt), budget)).alias("sub", "excerpt")).where("excerpt <> ''")
+    now = segmented_sum(cut, F.lit(1).cast("long"), group, "first", "sub", name="at").select(group, "at", "excerpt", "first", F.col("first").alias("last"))
+    done, k = [], 0
+    while True:
+        size = F.char_length("excerpt") + gap
+        packed = pack_facts(now, group, "at", size, budget + gap, block)
+        parts = F.array_sort(F.collect_list(F.struct("at", "excerpt")))
+        text = F.array_join(F.transform(parts, lambda x: x["excerpt"]), SEPARATOR).alias("facts")
+        packs = work.save(packed.groupBy(group, "_pack").agg(text, F.min("first").alias("first"), F.max("last").alias("last")))
+        sums = packs.groupBy(group).agg(F.count("*").alias("_n"), F.sum(F.char_length("facts") + gap).alias("_old"))
+        said = packs.select(group, "_pack", extract(F.col("facts")).alias("excerpt"), "first", "last").where(relevant(F.col("excerpt")))
+        said = work.save(said)
+        less = said.groupBy(F.col(group).alias("_g")).agg(F.sum(F.char_length("excerpt") + gap).alias("_new"))
+        state = sums.join(less, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+        state = work.save(state.withColumn("_fate", F.when(F.col("_n") == 1, "fits").when(F.col("_new").isNull(), "nothing").when(F.col("_new") >= F.col("_old"), "stuck").otherwise("on")).select(F.col(group).alias("_g"), "_fate"))
+        fate = lambda df, *which: df.join(state.where(F.col("_fate").isin(*which)), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+        ended = fate(packs, "fits", "stuck")
+        part = segmented_sum(ended, F.lit(1).cast("long"), group, "_pack", name="part")
+        done.append(part.select(group, (F.col("part") - 1).alias("part"), "facts", "first", "last", F.lit(k).cast("bigint").alias("rounds"), (F.col("_fate") == "stuck").alias("over")))
+        none = F.lit(None).cast(now.schema["first"].dataType)
+        done.append(state.where("_fate = 'nothing'").select(F.col("_g").alias(group), F.lit(0).cast("bigint").alias("part"), F.lit("").alias("facts"), none.alias("first"), none.alias("last"), F.lit(k + 1).cast("bigint").alias("rounds"), F.lit(False).alias("over")))
+        if state.where("_fate = 'on'").isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        now, k = fate(said, "on").select(group, F.col("_pack").alias("at"), "excerpt", "first", "last"), k + 1
 
 
 def turn_labels(turns: DataFrame, session: str, order: str, mode: str = "swap") -> DataFrame:
@@ -155,13 +181,17 @@ def fold_stream(lines: DataFrame, key: str, order: str, json_column: str) -> Dat
 def dependency_levels(spark, edges: DataFrame) -> DataFrame:
     """node and level of a sub-query graph (node, needs): a node comes after all that it needs.
 
+    A column `dist`, where there is one, says how many levels after `needs` (or after the start) a
+    node comes, so that a run of nodes nobody asks about is one weighted edge.
+
     Chains, where each node needs one other, are crossed by pointer doubling, in as many joins as
     their length has binary digits; only nodes with several needs take a join for each level. No
     cap on depth or rows. Nodes that no start leads to get no row; a cycle that one leads to raises.
     """
     steady(spark)
-    edges = written(edges.select("node", "needs").distinct())
-    single = edges.groupBy("node").agg(F.count("*").alias("n"), F.max("needs").alias("to")).where("n = 1 AND to IS NOT NULL").select("node", "to", F.lit(1).cast("bigint").alias("dist"))
+    apart = F.col("dist").cast("bigint") if "dist" in edges.columns else F.when(F.col("needs").isNull(), 0).otherwise(1).cast("bigint")
+    edges = written(edges.select("node", "needs", apart.alias("dist")).groupBy("node", "needs").agg(F.max("dist").alias("dist")))
+    single = edges.groupBy("node").agg(F.count("*").alias("n"), F.max("needs").alias("to"), F.max("dist").alias("dist")).where("n = 1 AND to IS NOT NULL").select("node", "to", "dist")
     # done: the pointer has left the chain, at a start or at a node with several needs.
     links = written(single.join(single.select(F.col("node").alias("to"), F.lit(False).alias("done")), "to", "left").select("node", "to", "dist", F.coalesce("done", F.lit(True)).alias("done")))
     for _ in range(links.count().bit_length() + 1):
@@ -171,10 +201,10 @@ def dependency_levels(spark, edges: DataFrame) -> DataFrame:
         jumped = links.where("NOT done").join(ahead, "to").select("node", F.col("_to").alias("to"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_done").alias("done"))
         links = written(links.where("done").unionByName(jumped))
     chains = links.where("done").drop("done")
-    known = front = written(edges.where("needs IS NULL").select("node", F.lit(0).cast("bigint").alias("level")))
+    known = front = written(edges.where("needs IS NULL").select("node", F.col("dist").alias("level")))
     joints = edges.where("needs IS NOT NULL").join(single, "node", "left_anti")
-    joints = joints.join(chains.select(F.col("node").alias("needs"), "to", "dist"), "needs", "left")
-    joints = written(joints.select("node", F.coalesce("to", "needs").alias("to"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")))
+    joints = joints.join(chains.select(F.col("node").alias("needs"), "to", F.col("dist").alias("_far")), "needs", "left")
+    joints = written(joints.select("node", F.coalesce("to", "needs").alias("to"), (F.coalesce("_far", F.lit(0)) + F.col("dist")).alias("dist")))
     left = joints.select("node").distinct().count()
     while left >= 0 and not front.isEmpty():
         later = joints.join(front.select(F.col("node").alias("to"), "level"), "to").groupBy("node").agg(F.max(F.col("level") + F.col("dist")).alias("level"))

@@ -15,7 +15,7 @@ from lectern.functions import models as M
 from lectern.functions import text as T
 from lectern.functions.identity import content_hash, set_hash
 from lectern.functions.vectors import cosine
-from lectern.operators import caches, chunking, ordered, profile, qa, retrieval, store, workspaces
+from lectern.operators import caches, chunking, ordered, profile, qa, retrieval, rope, store, workspaces
 from lectern.sources.html import page_items
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +178,16 @@ def corpus_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("source", long(F.char_length("text")).alias("n_chars"), content_hash(F.col("text")).alias("hash"), long(F.size("names")).alias("files"))
 
 
+@query(f"""WITH RECURSIVE whole AS (SELECT source, string_agg('=== ' || doc_id || ' ===' || chr(10) || text || chr(10), chr(10) || chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY source),
+    {_split_sql('whole', 'source', 't', CHUNK)} SELECT source, chunk_index, sha256(piece) AS chunk_hash, CAST(length(piece) AS BIGINT) AS n_chars FROM pieces""")
+def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each source's joined documents, with no source held as one value."""
+    header = F.concat(F.lit("=== "), F.col("doc_id").cast("string"), F.lit(" ===\n"), "text", F.lit("\n"))
+    parts = table(spark, sf_dir, "documents").select("source", "doc_id", header.alias("text"))
+    pieces = rope.split_corpus(parts, "source", "doc_id", most=CHUNK, separator="\n\n")
+    return pieces.select("source", "chunk_index", content_hash(F.col("piece")).alias("chunk_hash"), long(F.char_length("piece")).alias("n_chars"))
+
+
 # --- vectors -------------------------------------------------------------------------------
 
 _COS = "round(list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])), 6)"
@@ -313,13 +323,12 @@ def corpus_switch_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caches.evictions(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id").select("event_id", "evicted")
 
 
-@query("""WITH p AS (SELECT doc_id, text, lag(doc_id) OVER w AS before, lag(text) OVER w AS old FROM documents WHERE length(text) >= 100 WINDOW w AS (PARTITION BY left(text, 100) ORDER BY doc_id)),
-    s AS (SELECT doc_id, before, text, old, string_split(text, '') AS a, string_split(old, '') AS b FROM p WHERE old <> text),
-    c AS (SELECT doc_id, before, text, old, list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda k: a[k] = b[k]), false) AS differs FROM s),
-    l AS (SELECT doc_id, before, CAST(CASE WHEN coalesce(differs, 0) = 0 THEN least(length(text), length(old)) ELSE differs - 1 END AS BIGINT) AS prefix, length(old) AS n FROM c)
+@query("""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 100),
+    p AS (SELECT a.doc_id, b.doc_id AS before, b.n, string_split(a.text, '') AS x, string_split(b.text, '') AS y FROM t a JOIN t b ON left(a.text, 100) = left(b.text, 100) AND a.doc_id > b.doc_id AND a.text <> b.text),
+    c AS (SELECT doc_id, before, n, least(len(x), len(y)) AS most, list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda k: x[k] = y[k]), false) AS differs FROM p),
+    l AS (SELECT doc_id, before, CAST(CASE WHEN coalesce(differs, 0) = 0 THEN most ELSE differs - 1 END AS BIGINT) AS prefix, n FROM c)
     SELECT doc_id, before, prefix FROM l WHERE prefix >= 0.5 * n""")
 def common_prefix_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Every earlier text counts, not the neighbour by id alone as in the SQL; see README.md.
     return caches.prefix_pairs(table(spark, sf_dir, "documents"), "doc_id", 100)
 
 
@@ -419,12 +428,31 @@ def budget_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.route_by_budget(table(spark, sf_dir, "documents"), "source", T.token_estimate(F.col("text")), CONTEXT * 8, "doc_id").select("doc_id", "route", "inside")
 
 
-@query(f"{_MAP}, f AS (SELECT source, string_agg(excerpt, chr(10) || '---' || chr(10) ORDER BY doc_id, chunk_index) AS facts FROM kept GROUP BY source) SELECT source, CAST(0 AS BIGINT) AS rounds, sha256(facts) AS answer_hash FROM f")
+_BUDGET, _ROUNDS = 1600, 7
+
+
+def _round_sql(k: int) -> str:
+    """One round of packing and extraction: f are the facts of round k, d what ends with it."""
+    said = f"{_TRIM.format(f"list_filter(string_split_regex(text, '[.]|' || chr(10) || '---' || chr(10)), lambda s: contains(s, ' {WORD} '))[1]")}"
+    return f"""w{k} AS (SELECT source, i, excerpt, a, b, CAST(1 AS BIGINT) AS pack, length(excerpt) AS used FROM f{k} WHERE i = 1
+        UNION ALL SELECT f.source, f.i, f.excerpt, f.a, f.b, CASE WHEN used + 5 + length(f.excerpt) <= {_BUDGET} THEN pack ELSE pack + 1 END, CASE WHEN used + 5 + length(f.excerpt) <= {_BUDGET} THEN used + 5 + length(f.excerpt) ELSE length(f.excerpt) END
+        FROM w{k} w JOIN f{k} f ON f.source = w.source AND f.i = w.i + 1),
+    g{k} AS (SELECT source, pack, string_agg(excerpt, chr(10) || '---' || chr(10) ORDER BY i) AS text, min(a) AS a, max(b) AS b FROM w{k} GROUP BY source, pack),
+    e{k} AS (SELECT source, pack, a, b, {said} AS excerpt FROM g{k}),
+    r{k} AS (SELECT * FROM e{k} WHERE excerpt IS NOT NULL AND excerpt <> '' AND lower(excerpt) <> 'none'),
+    s{k} AS (SELECT g.source, CASE WHEN g.n = 1 THEN 'fits' WHEN r.size IS NULL THEN 'nothing' WHEN r.size >= g.size THEN 'stuck' ELSE 'on' END AS fate
+        FROM (SELECT source, count(*) AS n, sum(length(text) + 5) AS size FROM g{k} GROUP BY source) g LEFT JOIN (SELECT source, sum(length(excerpt) + 5) AS size FROM r{k} GROUP BY source) r ON r.source = g.source),
+    d{k} AS (SELECT source, pack - 1 AS part, text, a, b, CAST({k} AS BIGINT) AS rounds, fate = 'stuck' AS over FROM g{k} JOIN s{k} USING (source) WHERE fate IN ('fits', 'stuck')
+        UNION ALL SELECT source, 0, '', NULL, NULL, {k + 1}, false FROM s{k} WHERE fate = 'nothing'),
+    f{k + 1} AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY pack) AS i, excerpt, a, b FROM r{k} JOIN s{k} USING (source) WHERE fate = 'on')"""
+
+
+@query(f"""{_MAP}, f0 AS (SELECT source, i, excerpt, i - 1 AS a, i - 1 AS b FROM (SELECT source, excerpt, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_index) AS i FROM kept)),
+    {', '.join(_round_sql(k) for k in range(_ROUNDS))} SELECT source, CAST(part AS BIGINT) AS part, rounds, over, CAST(a AS BIGINT) AS first_fact, CAST(b AS BIGINT) AS last_fact, sha256(text) AS answer_hash FROM ({' UNION ALL '.join(f'SELECT * FROM d{k}' for k in range(_ROUNDS))})""")
 def recursive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Within this budget every source fits at once; tests/ cover the rounds.
-    facts = qa.reduce_phase(_extractions(spark, sf_dir), "source", "doc_id", "chunk_index")
-    done = qa.recursive_reduce(facts, "source", 2_000_000_000, lambda p: qa.extract_sentence(p, WORD))
-    return done.select("source", "rounds", content_hash(F.col("facts")).alias("answer_hash"))
+    facts = ordered.segmented_sum(_extractions(spark, sf_dir), F.lit(1).cast("bigint"), "source", "doc_id", "chunk_index", name="fact").withColumn("fact", F.col("fact") - 1)
+    done = qa.recursive_reduce(facts, "source", "fact", _BUDGET, lambda p: qa.extract_sentence(p, WORD, qa.FACT_ENDS))
+    return done.select("source", "part", "rounds", "over", F.col("first").alias("first_fact"), F.col("last").alias("last_fact"), content_hash(F.col("facts")).alias("answer_hash"))
 
 
 @query(r"SELECT conv_id, turn, regexp_matches(lower(t), '\?.*\S.*\?|,? and (what|who|when|where|why|how|its|their)\b|\bof the .* (that|which|whose)\b') AS compound FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') || CASE WHEN turn % 2 = 0 THEN ', and what else' ELSE '' END AS t FROM conversations)")
@@ -599,10 +627,9 @@ def truncate_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.truncate_display(F.col("text")).alias("shown"))
 
 
-@query("SELECT user_id, CASE WHEN f < 0.97 THEN 'only ' || CAST(round(f * 100) AS BIGINT) || '% of m is resident' END AS warning FROM (SELECT user_id, CAST(user_id % 128 AS DOUBLE) / 128 AS f FROM (SELECT DISTINCT user_id FROM events)) WHERE (f * 100) % 1 <> 0.5")
+@query("SELECT user_id, CASE WHEN f < 0.97 THEN 'only ' || CAST(round_even(f * 100, 0) AS BIGINT) || '% of m is resident' END AS warning FROM (SELECT user_id, CAST(user_id % 128 AS DOUBLE) / 128 AS f FROM (SELECT DISTINCT user_id FROM events))")
 def offload_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("f", (F.col("user_id") % 128).cast("double") / 128)
-    # All users, also those at rounding ties, which the SQL leaves out; see README.md.
     return users.select("user_id", M.offload_warning(F.col("f"), F.lit("m")).alias("warning"))
 
 
@@ -657,9 +684,10 @@ def converted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(max(turn) AS BIGINT) AS deepest FROM conversations GROUP BY conv_id")
 def dependency_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Turns behind a gap need the missing ones too, so that their level is their number.
-    last = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("bigint").alias("conv_id")).agg(F.max("turn").cast("bigint").alias("last"))
-    turns = last.select("conv_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("last", F.lit(0)))).alias("turn"))
+    # Turns behind a gap come as many levels later as are missing: one edge, whatever its length.
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.greatest(F.col("turn").cast("bigint"), F.lit(0)).alias("turn")).where("turn is not null").distinct()
+    before = F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn"))
     node = lambda turn: F.struct("conv_id", turn.alias("turn"))
-    levels = qa.dependency_levels(spark, turns.select(node(F.col("turn")).alias("node"), F.when(F.col("turn") > 0, node(F.col("turn") - 1)).alias("needs")))
+    edges = turns.withColumn("before", before).select(node(F.col("turn")).alias("node"), F.when(F.col("before").isNotNull(), node(F.col("before"))).alias("needs"), (F.col("turn") - F.coalesce("before", F.lit(0))).alias("dist"))
+    levels = qa.dependency_levels(spark, edges)
     return levels.groupBy(F.col("node.conv_id").alias("conv_id")).agg(F.max("level").alias("deepest"))
