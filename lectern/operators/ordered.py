@@ -57,6 +57,22 @@ def segmented_sum(df: DataFrame, value: Column, group: str, *order: Column | str
     return met.withColumn(name, F.col(name) + F.coalesce("_off", F.lit(0))).drop("_part", "_idx", "_g", "_off", "_v")
 
 
+def segmented_last(df: DataFrame, values: dict[str, Column], group: str, *order: Column | str) -> DataFrame:
+    """For each row the last value that isn't null among the earlier rows of its group, by name.
+
+    Two levels, as in segmented_sum(): a group may hold all rows.
+    """
+    inner = {f"_v_{name}": c for name, c in values.items()}
+    rows = dealt(df.withColumns(inner), group, *order)
+    earlier = W.partitionBy("_part", group).orderBy("_idx").rowsBetween(W.unboundedPreceding, -1)
+    near = rows.withColumns({name: F.last(f"_v_{name}", True).over(earlier) for name in values})
+    ends = rows.groupBy("_part", group).agg(*(F.max_by(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), F.col("_idx"))).alias(f"_v_{name}") for name in values))
+    before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), F.lag(F.lit(True)).over(W.partitionBy(group).orderBy("_part")).alias("_more"), *(F.last(f"_v_{name}", True).over(before).alias(f"_c_{name}") for name in values)).where("_more").drop("_more")
+    met = near.join(F.broadcast(carried), (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")), "left")
+    return met.withColumns({name: F.coalesce(name, f"_c_{name}") for name in values}).drop("_part", "_idx", "_p", "_g", *inner, *(f"_c_{name}" for name in values))
+
+
 def queue_waits(calls: DataFrame, arrival: Column, duration: Column, *order: Column | str) -> DataFrame:
     """Waiting time of each call of a first-in first-out queue with one server, as column wait.
 

@@ -15,7 +15,7 @@ from lectern.functions import models as M
 from lectern.functions import text as T
 from lectern.functions.identity import content_hash, set_hash
 from lectern.functions.vectors import cosine
-from lectern.operators import caches, chunking, ordered, profile, qa, retrieval, rope, store, workspaces
+from lectern.operators import caches, chunking, ordered, profile, qa, retrieval, rope, session, store, workspaces
 from lectern.sources.html import page_items
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -404,6 +404,66 @@ def ndjson_stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("conv_id", "response", "eval_count", "lines")
 
 
+def _session_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as loads and questions: types are models, users sessions; the document at hand grows for forty events.
+
+    Two of three events load the document at hand before they ask; the others ask about what the session has.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = docs.agg(F.max("doc_id")).first()[0] or 0
+    base, version = F.floor(F.col("event_id") / 40) % (n + 1), F.floor(F.col("event_id") / 4) % 10
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), long("user_id").alias("session"), long("event_id").alias("event_id"), long(base).alias("base"), long(version).alias("version"))
+    rows = rows.withColumn("doc", F.concat_ws("-", "base", "version"))
+    loads = rows.where("event_id % 3 <> 0").withColumns({"kind": F.lit("load"), "at": F.col("event_id") * 2})
+    events = loads.unionByName(rows.withColumns({"kind": F.lit("ask"), "at": F.col("event_id") * 2 + 1}))
+    grown = rows.select("doc", "base", "version").distinct().join(docs, F.col("base") == F.col("doc_id"))
+    texts = grown.select("doc", F.concat("text", F.expr(f"repeat('{_SUFFIX}', int(version))")).alias("text"))
+    return events.select("key", "session", "at", "kind", F.when(F.col("kind") == "load", F.col("doc")).alias("doc")), texts
+
+
+_SESSIONS = f"""
+    r AS (SELECT event_type AS key, CAST(user_id AS BIGINT) AS session, event_id, event_id // 40 % (SELECT max(doc_id) + 1 FROM documents) AS base, event_id // 4 % 10 AS version FROM events),
+    ev AS (SELECT key, session, event_id * 2 AS seq, 'load' AS kind, base || '-' || version AS doc FROM r WHERE event_id % 3 <> 0 UNION ALL SELECT key, session, event_id * 2 + 1, 'ask', NULL FROM r),
+    tx AS (SELECT DISTINCT base || '-' || version AS doc, text || repeat('{_SUFFIX}', CAST(version AS INTEGER)) AS t FROM r JOIN documents ON doc_id = base)"""
+
+
+# The state machine itself: one event of each model a step, the whole state in a row.
+@query(f"""WITH RECURSIVE {_SESSIONS},
+    pre AS (SELECT n.doc AS doc, o.doc AS last FROM (SELECT *, left(t, 2000) AS h FROM tx WHERE length(t) >= 2000) n JOIN (SELECT *, left(t, 2000) AS h, CAST(greatest(2000, ceil(length(t) * 0.5)) AS INTEGER) AS m FROM tx WHERE length(t) >= 2000) o
+            ON n.h = o.h AND n.doc <> o.doc WHERE length(n.t) >= o.m AND left(n.t, o.m) = left(o.t, o.m) AND NOT starts_with(o.t, n.t)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS k FROM ev),
+    st AS (SELECT key, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS session, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS doc, CAST(NULL AS VARCHAR) AS tier, CAST([] AS VARCHAR[]) AS cache,
+                  CAST(MAP {{}} AS MAP(BIGINT, STRUCT(doc VARCHAR, warm BOOLEAN, active BOOLEAN))) AS cur, CAST(NULL AS VARCHAR) AS last FROM (SELECT DISTINCT key FROM ev)
+        UNION ALL
+        SELECT key, k, session, seq, now AS doc, tier,
+               CASE WHEN kind = 'load' THEN list_filter(cache, lambda x: c.doc IS NULL OR c.doc = given OR x <> c.doc) WHEN c.doc IS NULL OR list_contains(cache, c.doc) THEN cache ELSE list_append(cache, c.doc) END,
+               CASE WHEN kind = 'ask' AND c.doc IS NULL THEN cur ELSE map_concat(cur, MAP {{session: CASE WHEN kind = 'load' THEN struct_pack(doc := given, warm := list_contains(list_filter(cache, lambda x: c.doc IS NULL OR c.doc = given OR x <> c.doc), given), active := false) ELSE struct_pack(doc := c.doc, warm := c.warm, active := true) END}}) END,
+               CASE WHEN tier IN ('cache', 'prefix', 'cold') THEN c.doc ELSE last END
+        FROM (SELECT s.key, e.k, e.session, e.seq, e.kind, e.doc AS given, c, c.doc AS now, cache, cur, s.last,
+                     CASE WHEN e.kind = 'load' THEN NULL WHEN c.doc IS NULL THEN 'refused' WHEN c.active THEN 'memory' WHEN c.warm THEN 'cache' WHEN pre.doc IS NOT NULL AND list_contains(cache, s.last) THEN 'prefix' ELSE 'cold' END AS tier
+              FROM (SELECT st.*, map_extract(st.cur, n.session)[1] AS c FROM st JOIN o AS n ON n.key = st.key AND n.k = st.k + 1) s JOIN o AS e ON e.key = s.key AND e.k = s.k + 1 LEFT JOIN pre ON pre.doc = s.c.doc AND pre.last = s.last))
+    SELECT key, session, seq, doc, tier, CASE tier WHEN 'refused' THEN '' WHEN 'prefix' THEN 'prefix-reprime,answer' WHEN 'cold' THEN 'prime,answer' ELSE 'answer' END AS labels FROM st WHERE tier IS NOT NULL""")
+def context_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, texts = _session_events(spark, sf_dir)
+    return session.resolve_contexts(events, texts).select("key", "session", F.col("at").alias("seq"), "doc", "tier", "labels")
+
+
+@query(f"""WITH RECURSIVE {_SESSIONS}, {_split_sql('tx', 'doc', 't', CHUNK)},
+    asks AS (SELECT event_type AS key, CAST(event_id AS BIGINT) AS seq, event_id // 40 % (SELECT max(doc_id) + 1 FROM documents) || '-' || event_id // 4 % 10 AS doc FROM events),
+    u AS (SELECT key, seq, doc, row_number() OVER (PARTITION BY key, md5(piece) ORDER BY seq, chunk_index) AS k FROM asks JOIN pieces USING (doc))
+    SELECT key, seq, a.doc, coalesce(n, 0) AS chunks, coalesce(reused, 0) AS reused, CASE WHEN coalesce(reused, 0) = 0 THEN 'cold' WHEN reused = n THEN 'adaptive-reuse' ELSE 'adaptive-reuse-partial (' || reused || '/' || n || ' chunks)' END AS tier
+    FROM asks a LEFT JOIN (SELECT key, seq, count(*) AS n, CAST(count(*) FILTER (k > 1) AS BIGINT) AS reused FROM u GROUP BY key, seq) USING (key, seq)""")
+def chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions over chunked documents: how many chunks find their primed context."""
+    _, texts = _session_events(spark, sf_dir)
+    pieces = chunking.split_column(texts, "text", CHUNK, "doc").select("doc", content_hash(F.col("piece")).alias("content_hash"))
+    n = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0
+    doc = F.concat_ws("-", long(F.floor(F.col("event_id") / 40) % (n + 1)), long(F.floor(F.col("event_id") / 4) % 10))
+    asks = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), long("event_id").alias("at"), doc.alias("doc"))
+    found = session.chunk_reuse(asks, pieces)
+    return found.select("key", F.col("at").alias("seq"), "doc", "chunks", "reused", M.tier(F.col("chunks"), F.col("reused")).alias("tier"))
+
+
 _LABEL = "[the model ran out of budget before completing an answer - showing its unfinished reasoning instead]"
 
 
