@@ -226,6 +226,14 @@ def retrieve_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k_batched(chunks, _label_queries(chunks), 10, "vec_id").withColumn("score", F.round("score", 6))
 
 
+@query(f"SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {'list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))'} AS s FROM embeddings e, embeddings q)) WHERE rank <= 5")
+def retrieve_for_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a query: too many to broadcast, so both sides meet in blocks."""
+    chunks = table(spark, sf_dir, "embeddings")
+    asked = chunks.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.top_k_blocks(chunks, asked, 5, "vec_id").withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {_BATCHED} SELECT query_id, sum(CASE WHEN label = query_id THEN 1 ELSE 0 END)::BIGINT AS same, count(*) AS n FROM r WHERE rank <= 10 GROUP BY query_id")
 def retrieve_label_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "embeddings")

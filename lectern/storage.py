@@ -17,6 +17,15 @@ def steady(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded(spark: SparkSession, size: int = 8 << 20) -> SparkSession:
+    """Let no Arrow batch hold more than `size` bytes or one row, where rows may be large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))
+    if now <= 0 or now > size:
+        spark.conf.set(key, str(size))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a private one in local mode where it is unset.
 

@@ -109,8 +109,6 @@ def test_retrieval(spark):
     assert [r.chunk_id for r in retrieval.top_k(df, [1.0, 0.0], 3).collect()] == [1, 3, 2]
     q = spark.createDataFrame([("q", [0.0, 1.0])], "query_id string, query array<float>")
     assert [(r["rank"], r.chunk_id) for r in retrieval.top_k_batched(df, q, 2).orderBy("rank").collect()] == [(1, 2), (2, 1)]
-    with pytest.raises(ValueError):
-        retrieval.top_k_batched(df, q, 2, limit=0)
     texts = spark.createDataFrame([("a b",), ("a b",), (None,)], "t string")
     e = [tuple(r.embedding) for r in retrieval.embed(texts, "t").collect()]
     assert e[0] == e[1] != e[2] and len(e[0]) == 64
