@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -20,17 +21,23 @@ ENTRY = "path string, pos int, name string, content binary"
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
     """doc_path, mtime (epoch seconds, 0 before the epoch) and size of a folder's files, not its subfolders'.
 
-    Contents aren't read: the source prunes them.
+    Contents aren't read: the source prunes them. It leaves out empty files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
     return files.select(F.col("path").alias("doc_path"), F.greatest(F.unix_timestamp("modificationTime"), F.lit(0)).alias("mtime"), F.col("length").alias("size"))
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, pos (argument order) and content; a path given twice gives two rows."""
+    """path, pos (argument order) and content; a path given twice gives two rows.
+
+    Spark's reader leaves out empty files, so a path that it doesn't return is one of those; one
+    that isn't there raises.
+    """
     listed = spark.createDataFrame([(p, k) for k, p in enumerate(paths)], "given string, pos int")
-    files = spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).select("path", "content")
-    return files.join(F.broadcast(listed), F.regexp_replace("path", "^file:/*", "/") == F.regexp_replace("given", "^file:/*", "/")).select("path", "pos", "content")
+    files = spark.read.format("binaryFile").load([literal_path(p) for p in dict.fromkeys(paths)]).select("path", "content")
+    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    met = listed.join(files, bare("path") == bare("given"), "left")
+    return met.select(F.coalesce("path", "given").alias("path"), "pos", F.coalesce("content", F.lit(b"")).alias("content"))
 
 
 def strict_text(content) -> object:
@@ -85,15 +92,39 @@ Converter = Callable[[str, bytes], list[tuple[str, int | None]]]
 
 
 def convert_files(files: DataFrame, converter: Converter) -> DataFrame:
-    """path, pos, page, text: a converter (path, bytes) -> items over file contents; failures give no items."""
+    """path, pos, page, text, error: a converter (path, bytes) -> items over file contents.
+
+    A file that the converter can't convert is one row with the error's text and no item; one
+    without items gives no row. Contents come from Spark's reader, so any store will do.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 try:
-                    items = converter(r.path, r.content)
-                except Exception:
-                    continue  # the file stays in the set's hash and names, without text
-                yield pd.DataFrame([(r.path, k, p, t) for k, (t, p) in enumerate(items)], columns=["path", "pos", "page", "text"]).astype({"page": "Int32"})
+                    rows = [(r.path, k, p, t, None) for k, (t, p) in enumerate(converter(r.path, r.content))]
+                except Exception as e:  # whatever a converter raises is the file's result
+                    rows = [(r.path, None, None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=["path", "pos", "page", "text", "error"]).astype({"pos": "Int32", "page": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, pos int, page int, text string, error string")
 
-    return files.select("path", "content").mapInPandas(run, "path string, pos int, page int, text string")
+
+def literal_path(path: str) -> str:
+    """A path that the file source takes as it is: characters that it would read as a pattern are escaped."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def open_files(spark: SparkSession, paths: DataFrame, at_once: int = 10_000) -> Iterator[DataFrame]:
+    """path and content of the files of a table (one column), in tables of `at_once` files.
+
+    The source takes paths from the driver, so they are streamed to it a block at a time.
+    """
+    block: list[str] = []
+    for (path,) in paths.toLocalIterator():
+        block.append(literal_path(path))
+        if len(block) == at_once:
+            yield spark.read.format("binaryFile").load(block).select("path", "content")
+            block = []
+    if block:
+        yield spark.read.format("binaryFile").load(block).select("path", "content")

@@ -212,15 +212,15 @@ def test_ask_document(spark, tmp_path):
         ask_document(spark, [str(tmp_path / "big.txt")], "summarize")
 
 
-def test_conversion_failures_are_skipped(spark):
+def test_conversion_failures_are_rows(spark):
     df = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"y"))], "path string, content binary")
 
     def convert(path, content):
         if path == "b":
-            raise RuntimeError
+            raise RuntimeError("broken")
         return [("one", 1), ("two", None)]
 
-    assert [tuple(r) for r in files.convert_files(df, convert).collect()] == [("a", 0, 1, "one"), ("a", 1, None, "two")]
+    assert [tuple(r) for r in files.convert_files(df, convert).orderBy("path", "pos").collect()] == [("a", 0, 1, "one", None), ("a", 1, None, "two", None), ("b", None, None, None, "RuntimeError: broken")]
 
 
 def test_external(spark, monkeypatch, tmp_path):
