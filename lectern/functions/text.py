@@ -23,11 +23,20 @@ def bounded_split(text: Column, most: int) -> Column:
 
     A text that fits is one trimmed piece, even an empty one; of longer texts empty pieces go.
     """
-    pattern = rf"(?s)(?U).{{1,{most}}}\z|.{{1,{most - 1}}}(?=\s)|.{{{most}}}"
-    cut = F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), utrim), lambda x: x != "")
+    cut = F.filter(F.transform(_runs(text, most), utrim), lambda x: x != "")
     return F.when(F.char_length(text) <= most, F.array(utrim(text))).otherwise(cut)
 
 
+def _runs(text: Column, most: int) -> Column:
+    pattern = rf"(?s)(?U).{{1,{most}}}\z|.{{1,{most - 1}}}(?=\s)|.{{{most}}}"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def raw_pieces(text: Column, most: int) -> Column:
+    """The pieces of bounded_split() before trimming, blank ones too: together they are the text."""
+    return F.when(F.char_length(text) <= most, F.array(text)).otherwise(_runs(text, most))
+
+
 def document_budget(context: Column) -> Column:
     """Characters of document text that a context window of so many tokens holds."""
     return F.floor(context * (1 - OVERHEAD)).cast("bigint") * CHARS_PER_TOKEN

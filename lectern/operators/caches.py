@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import common_prefix
+from lectern.storage import written
 
-from .ordered import running_sum
+from .ordered import running_sum, segmented_last
 
 # Bytes of the parse cache, and what a text must share with the last one.
 PARSE_CAPACITY = 10 << 30
@@ -37,8 +37,7 @@ def survivors(entries: DataFrame, size: Column, capacity: int, *recency: Column
 
 def evictions(loads: DataFrame, session: str, content: str, *order: str) -> DataFrame:
     """For every load the content that it evicts: the session's previous one, if different."""
-    before = F.lag(content).over(W.partitionBy(session).orderBy(*order))
-    return loads.withColumn("evicted", F.when(before != F.col(content), before))
+    return segmented_last(loads, {"_before": F.col(content)}, session, *order).withColumn("evicted", F.when(F.col("_before") != F.col(content), F.col("_before"))).drop("_before")
 
 
 def append_only(new: DataFrame, last: DataFrame, *keys: str, least: int = PREFIX_CHARS, share: float = PREFIX_SHARE) -> DataFrame:
@@ -85,6 +84,27 @@ def prefix_pairs(docs: DataFrame, key: str, least: int = PREFIX_CHARS, share: fl
     return named.where(F.col("before") < F.col(key)).select(key, "before", "prefix")
 
 
+def answers(asked: DataFrame, versions: DataFrame, key: str = "corpus", at: str = "at", question: str = "question") -> DataFrame:
+    """Questions with version, hit and first_at: each finds the answer to an equal one over the same version.
+
+    asked: key, at and question; versions: key, at and version, the log of a corpus' versions. A
+    question is about the last version logged at its time or before (null: none yet, and nothing
+    is cached for it). The first of equal questions to a version pays; an answer to an older
+    version is stale and never found. Ties in time: the version counts first, and of questions
+    asked at one time one pays.
+    """
+    kind = lambda df, n: df.withColumn("_kind", F.lit(n))
+    log = kind(versions.select(key, F.col(at).alias("_at"), F.col("version").alias("_v")), 0)
+    both = log.unionByName(kind(asked.withColumn("_at", F.col(at)).withColumn("_id", F.monotonically_increasing_id()), 1), allowMissingColumns=True)
+    seen = segmented_last(both, {"version": F.col("_v")}, key, "_at", "_kind", "_id").where("_kind = 1")
+    seen = written(seen.drop("_v", "_kind", "_at"))
+    first = seen.where("version is not null").groupBy(F.col(key).alias("_key"), F.col("version").alias("_version"), F.col(question).alias("_q")).agg(F.min(F.struct(F.col(at).alias("at"), F.col("_id").alias("id"))).alias("_first"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("version") == F.col("_version")) & F.col(question).eqNullSafe(F.col("_q"))
+    met = seen.join(first, same, "left")
+    hit = F.coalesce(F.col("_first.id") != F.col("_id"), F.lit(False))
+    return met.select(*asked.columns, "version", hit.alias("hit"), F.when(hit, F.col("_first.at")).alias("first_at"))
+
+
 def hit_rate(log: DataFrame, *by: str) -> DataFrame:
     return log.groupBy(*by).agg(F.count("*").alias("lookups"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").cast("double")).alias("hit_rate"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.text import bounded_split
+from lectern.functions.text import bounded_split, raw_pieces, utrim
 
 
 def split_column(df: DataFrame, text: str, most: int, *keys: str) -> DataFrame:
@@ -62,3 +62,35 @@ def levels(df: DataFrame, text: str, sizes: tuple[int, ...], *keys: str) -> Data
         part = split_column(df, text, most, *keys).withColumn("level", F.lit(k).cast("bigint"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def linked_levels(df: DataFrame, text: str, sizes: tuple[int, ...], key: str) -> DataFrame:
+    """levels() of ascending sizes with links: key, level, chunk_index, start, piece, parent_index.
+
+    start is where a piece's first character that isn't white space stands in the text; its parent
+    is the piece of the next coarser level that holds that character (null on the coarsest).
+    Parents are met by bins of the coarser size, of which a piece touches two at most.
+    """
+    parts = []
+    for k, most in enumerate(sizes):
+        raw = df.select(key, F.char_length(text).alias("_n"), F.posexplode(raw_pieces(F.col(text), most)).alias("_pos", "_raw"))
+        order = W.partitionBy(key).orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
+        placed = raw.withColumn("_end", F.sum(F.char_length("_raw")).over(order))
+        placed = placed.select(key, "_pos", (F.col("_end") - F.char_length("_raw")).alias("_from"), "_end", "_raw", (F.col("_n") <= most).alias("_whole"))
+        bare = placed.withColumn("piece", utrim(F.col("_raw"))).where("_whole or piece <> ''")
+        lead = F.char_length("_raw") - F.char_length(F.regexp_replace("_raw", r"(?U)^\s+", ""))
+        index = F.row_number().over(W.partitionBy(key).orderBy("_pos")).cast("bigint") - 1
+        parts.append(bare.select(key, F.lit(k).cast("long").alias("level"), index.alias("chunk_index"), (F.col("_from") + lead).alias("start"), "piece", "_from", "_end"))
+    out = None
+    for k, part in enumerate(parts):
+        if k + 1 < len(parts):
+            size = sizes[k + 1]
+            up = parts[k + 1].select(F.col(key).alias("_key"), F.col("chunk_index").alias("parent_index"), F.col("_from").alias("_pf"), F.col("_end").alias("_pe"))
+            up = up.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_pf") / size), F.floor(F.greatest(F.col("_pe") - 1, F.col("_pf")) / size))))
+            inside = F.col(key).eqNullSafe(F.col("_key")) & (F.floor(F.col("start") / size) == F.col("_bin")) & (F.col("start") >= F.col("_pf")) & (F.col("start") < F.greatest(F.col("_pe"), F.col("_pf") + 1))
+            part = part.join(up, inside, "left")
+        else:
+            part = part.withColumn("parent_index", F.lit(None).cast("long"))
+        part = part.select(key, "level", "chunk_index", F.col("start").cast("long").alias("start"), "piece", "parent_index")
+        out = part if out is None else out.unionByName(part)
+    return out

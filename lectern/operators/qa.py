@@ -164,9 +164,9 @@ def recursive_reduce(facts: DataFrame, group: str, order: str, budget: int, extr
 
 def turn_labels(turns: DataFrame, session: str, order: str, mode: str = "swap") -> DataFrame:
     """Calls of each question of a session: the first primes a context, later ones reuse it (not in raw mode)."""
-    place = F.row_number().over(W.partitionBy(session).orderBy(order)).cast("bigint")
-    first = (place == 1) | F.lit(mode == "raw")
-    return turns.withColumns({"question": place, "labels": F.when(first, "prime,answer").otherwise("answer"), "calls": F.when(first, 2).otherwise(1).cast("bigint")})
+    placed = segmented_sum(turns, F.lit(1).cast("bigint"), session, order, name="question")
+    first = (F.col("question") == 1) | F.lit(mode == "raw")
+    return placed.withColumns({"labels": F.when(first, "prime,answer").otherwise("answer"), "calls": F.when(first, 2).otherwise(1).cast("bigint")})
 
 
 def fold_stream(lines: DataFrame, key: str, order: str, json_column: str) -> DataFrame:

@@ -145,6 +145,19 @@ def hierarchy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.groupBy("doc_id", "level").agg(F.count("*").alias("pieces"), long(F.max(F.char_length("piece"))).alias("longest"))
 
 
+def _linked_sql(k: int) -> str:
+    """Pieces of one level with where they begin and end, and where their first visible character stands."""
+    return f"""q{k} AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS chunk_index, a, b, a + length(raw) - length(regexp_replace(raw, '^\\s+', '')) AS start
+        FROM (SELECT doc_id, step, whole, raw, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY step) - length(raw) AS a, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY step) AS b, {_TRIM.format('raw')} AS piece FROM l{k}_walk WHERE step > 0)
+        WHERE whole OR piece <> '')"""
+
+
+@query("WITH RECURSIVE " + ", ".join(_split_sql("documents", "doc_id", "text", most, f"l{k}") + ", " + _linked_sql(k) for k, most in enumerate(_LEVELS)) + " " + " UNION ALL ".join(f"SELECT q.doc_id, CAST({k} AS BIGINT) AS level, q.chunk_index, CAST(q.start AS BIGINT) AS start, " + (f"p.chunk_index AS parent_index FROM q{k} q LEFT JOIN q{k + 1} p ON p.doc_id = q.doc_id AND q.start BETWEEN p.a AND greatest(p.b - 1, p.a)" if k + 1 < len(_LEVELS) else f"NULL AS parent_index FROM q{k} q") for k in range(len(_LEVELS))))
+def hierarchy_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = chunking.linked_levels(table(spark, sf_dir, "documents"), "text", _LEVELS, "doc_id")
+    return linked.select("doc_id", "level", "chunk_index", "start", "parent_index")
+
+
 # --- identity ------------------------------------------------------------------------------
 
 
@@ -361,6 +374,19 @@ def answer_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("hit_rate", F.round(F.col("hits") / F.col("lookups"), 6))
 
 
+@query("""WITH v AS (SELECT user_id % 3 AS corpus, event_id AS t, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS version FROM events WHERE event_type = 'error'),
+    q AS (SELECT conv_id, turn, md5(text) AS question, conv_id % 3 AS corpus, conv_id * 8 + turn AS t FROM conversations WHERE role = 'user'),
+    a AS (SELECT q.*, v.version FROM q ASOF LEFT JOIN v ON v.corpus = q.corpus AND v.t <= q.t),
+    f AS (SELECT *, row_number() OVER (PARTITION BY corpus, version, question ORDER BY t) AS k, min(t) OVER (PARTITION BY corpus, version, question) AS first_t FROM a)
+    SELECT conv_id, turn, CAST(version AS BIGINT) AS version, version IS NOT NULL AND k > 1 AS hit, CAST(CASE WHEN version IS NOT NULL AND k > 1 THEN first_t END AS BIGINT) AS first_at FROM f""")
+def answer_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with the corpus version at their time; errors among the events stand for re-ingests."""
+    bumps = table(spark, sf_dir, "events").where("event_type = 'error'").select(long(F.col("user_id") % 3).alias("corpus"), long("event_id").alias("at"))
+    log = ordered.segmented_sum(bumps, F.lit(1).cast("bigint"), "corpus", "at", name="version")
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("question"), long(F.col("conv_id") % 3).alias("corpus"), long(F.col("conv_id") * 8 + F.col("turn")).alias("at"))
+    return caches.answers(asked, log).select("conv_id", "turn", "version", "hit", "first_at")
+
+
 # --- questions and answers -----------------------------------------------------------------
 
 _WORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))"
