@@ -53,6 +53,66 @@ def test_risk_falls_with_the_prior():
     assert model.score(good).mean() > 0.8 and model.score(bad).mean() < 0.2
 
 
+def test_risk_is_that_of_the_rows():
+    """Value and gradient of the risk over moments against sums over rows, for several priors."""
+    rng = np.random.default_rng(2)
+    good, mixed = rng.normal(0.3, 1, (50, 4)), rng.normal(0, 2, (300, 4))
+    p, u = quality.Moments.of(good), quality.Moments.of(mixed)
+    assert (quality.Moments.unpack((p + u).pack()).second == (p + u).second).all()
+    mean, scale = mixed.mean(0), mixed.std(0)
+    a, b = p.scaled(mean, scale), u.scaled(mean, scale)
+    loss = lambda z, y: ((1 - y * z) ** 2 / 4).mean()
+
+    def plain(w, prior):
+        zp, zu = (((x - mean) / scale) @ w[:-1] + w[-1] for x in (good, mixed))
+        return prior * loss(zp, 1), loss(zu, -1) - prior * loss(zp, -1)
+
+    for prior in (0.1, 0.5, 0.9):
+        for _ in range(5):
+            w = rng.normal(size=5)
+            plus, minus, g_plus, g_minus = quality.risk(w, a, b, prior)
+            assert (plus, minus) == pytest.approx(plain(w, prior))
+            for j in range(5):
+                e = np.eye(5)[j] * 1e-5
+                up, down = plain(w + e, prior), plain(w - e, prior)
+                assert ((up[0] - down[0]) / 2e-5, (up[1] - down[1]) / 2e-5) == pytest.approx((g_plus[j], g_minus[j]), abs=1e-6)
+
+
+def test_more_of_a_prior_keeps_more():
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(1, 1, (600, 5)), rng.normal(-1, 1, (600, 5))
+    mixed = np.concatenate([good[300:], bad[:300]])
+    kept = [(quality.fit(good[:300], mixed, prior).score(mixed) >= 0.5).mean() for prior in (0.2, 0.4, 0.6, 0.8)]
+    assert kept == sorted(kept) and kept[0] < 0.45 < 0.55 < kept[-1]
+
+
+def test_the_bracket_isnt_fitted_below_nothing():
+    rng = np.random.default_rng(4)
+    few, mixed = rng.normal(0.5, 1, (8, 40)), rng.normal(0, 1, (60, 40))
+    p, u = quality.Moments.of(few), quality.Moments.of(mixed)
+    model = quality.fit_moments(p, u, 0.6, decay=1e-4)
+    a, b = p.scaled(model.mean, model.scale), u.scaled(model.mean, model.scale)
+    loose = np.linalg.solve(b / 2 + 2e-4 * np.eye(41), 0.6 * a[-1] - b[-1] / 2)
+    assert quality.risk(loose, a, b, 0.6)[1] < -0.5  # what the unbiased risk alone would do
+    assert quality.risk(np.append(model.weights, model.bias), a, b, 0.6)[1] > -0.05
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.8])
+def test_prior_from_unlabelled_scores(prior):
+    rng = np.random.default_rng(5)
+    n = 20_000
+    scores = np.where(rng.random(n) < prior, rng.normal(1, 0.4, n), rng.normal(-1, 0.4, n))
+    got = quality.estimate_prior(quality.histogram(scores), quality.histogram(rng.normal(1, 0.4, 500)))
+    assert got == pytest.approx(prior, abs=0.05)
+
+
+def test_negative_labels_teach_nothing(spark, docs):
+    labels = [(k, k % 2, 0) for k in range(60)]
+    other = [x for x in labels if x[1] == 1]
+    a, b = (quality.classify(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int")).orderBy("doc_id").collect() for x in (labels, other))
+    assert sorted(map(repr, a)) == sorted(map(repr, b))
+
+
 # --- neighbours ----------------------------------------------------------------------------
 
 
