@@ -1,16 +1,22 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Vectors get binary codes from learned rotations (iterative quantisation, fitted on a bounded
-sample). A code is cut into bytes and each byte position has its own index. By the pigeonhole
-principle a code within Hamming radius r of the query is within r // m in one of the m bytes, so
-probing byte neighbourhoods of growing radius retrieves every code inside a known radius. The
-search of a block ends at the first radius that holds `need` codes, all of them, and reranks
-them by exact inner products. Every vector is indexed; blocks of vectors meet blocks of queries.
+sample). A code is cut into substrings of about as many bits as a block's rows have digits, and
+each substring has its own index. By the pigeonhole principle a code within Hamming radius r of
+the query is within r // m in one of its m substrings, so probing their neighbourhoods, one shell
+after another, retrieves every code inside a known radius. A search ends when that radius lies
+well beyond the code distances of the k best rows by exact inner product, or holds `need` codes.
+
+Where neighbours are far apart a shell comes to have more probes than the block has rows. Then the
+block's codes are compared with the query's one by one, which finds the same codes for less.
+
+Every vector is indexed; blocks of vectors meet blocks of queries.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, as query or candidate; rows with an equal id count once (the
 smallest vector); fewer candidates than k give fewer rows; a query without candidates or an
-empty table gives none; other columns are neither read nor returned.
+empty table gives none; inner products that overflow are infinite; other columns are neither read
+nor returned.
 """
 
 from __future__ import annotations
@@ -32,14 +38,17 @@ _FOUND = "query_id long, vec_id long, score double"
 
 @dataclass
 class Coder:
-    """Rotations to BITS signs. largest: the greatest norm, which turns inner products to angles."""
+    """Rotations to BITS signs. largest: the greatest norm, which turns inner products to angles; unit: what vectors are divided by first."""
 
     mean: np.ndarray
     turns: np.ndarray
     largest: float
+    unit: float = 1.0
 
     def codes(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Bytes of the codes, one row for each vector."""
+        # Lengths of a query don't matter: its largest component becomes one.
+        x = x / (np.abs(x).max(axis=1, keepdims=True, initial=0) if query else self.unit)
         norm = np.linalg.norm(x, axis=1)
         if query:
             y = np.concatenate([x / norm[:, None], np.zeros((len(x), 1))], 1)
@@ -69,45 +78,93 @@ def fit(sample: np.ndarray, largest: float, bits: int = BITS, rounds: int = 15)
     return Coder(mean, np.concatenate(turns, 1), largest)
 
 
-_BIT_COUNT = np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.int64)
-#: For each byte the bytes in order of their Hamming distance, and where each distance starts.
-_NEAR = np.stack([np.argsort(_BIT_COUNT[np.arange(256) ^ b], kind="stable") for b in range(256)])
-_SHELL = np.concatenate(([0], np.cumsum(np.bincount(_BIT_COUNT, minlength=9))))
+_shells: dict[int, list[np.ndarray]] = {}
+
+
+def shells(bits: int) -> list[np.ndarray]:
+    """For each distance the masks with so many of `bits` bits."""
+    if bits not in _shells:
+        count = np.bitwise_count(np.arange(1 << bits, dtype=np.uint32))
+        _shells[bits] = [np.flatnonzero(count == k).astype(np.uint16) for k in range(bits + 1)]
+    return _shells[bits]
 
 
 class ByteIndex:
-    """For every byte position the rows in order of their byte."""
+    """For every substring of the codes (8 or 16 bits) the rows in order of their value."""
 
-    def __init__(self, codes: np.ndarray):
-        self.n, self.m = codes.shape
-        self.order = np.concatenate([np.argsort(codes[:, s], kind="stable") for s in range(self.m)])
-        counts = np.stack([np.bincount(codes[:, s], minlength=256) for s in range(self.m)])
-        self.counts = counts
-        self.first = np.concatenate([np.zeros((self.m, 1), np.int64), np.cumsum(counts, 1)[:, :-1]], 1) + self.n * np.arange(self.m)[:, None]
-        self.words = np.ascontiguousarray(codes).view(np.uint64)
+    def __init__(self, codes: np.ndarray, bits: int = 8):
+        self.bits, self.words = bits, np.ascontiguousarray(codes).view(np.uint64)
+        parts = self._parts(codes)
+        (self.n, self.m), self.touched = parts.shape, 0
+        size = 1 << bits
+        self.order = np.concatenate([np.argsort(parts[:, s], kind="stable") for s in range(self.m)])
+        counts = np.stack([np.bincount(parts[:, s], minlength=size) for s in range(self.m)])
+        self.bounds = np.concatenate([np.zeros((self.m, 1), np.int64), np.cumsum(counts, 1)], 1) + self.n * np.arange(self.m)[:, None]
 
-    def within(self, code: np.ndarray, need: int) -> np.ndarray:
-        """All rows inside the smallest radius that holds at least `need` rows (all, if fewer)."""
-        seen = np.zeros(self.n, bool)
-        rows, far = np.empty(0, np.int64), np.empty(0, np.int64)
+    def _parts(self, codes: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(codes).view(np.uint16 if self.bits == 16 else np.uint8)
+
+    def _far(self, rows: np.ndarray | slice, code: np.ndarray) -> np.ndarray:
         word = np.ascontiguousarray(code).view(np.uint64)
+        return np.bitwise_count(self.words[rows] ^ word).sum(1).astype(np.int64)
+
+    def probe(self, code: np.ndarray):
+        """Yields new rows, their distances and the radius up to which no code is missing."""
+        parts, seen, spent = self._parts(code[None, :])[0], np.zeros(self.n, bool), 0
         at = np.arange(self.m)[:, None]
-        for rho in range(9):
-            probe = _NEAR[code][:, _SHELL[rho] : _SHELL[rho + 1]]
-            hit = self.order[ragged(self.first[at, probe].ravel(), self.counts[at, probe].ravel())]
+        for rho, masks in enumerate(shells(self.bits)):
+            spent += self.m * len(masks)
+            if spent > self.n and rho:  # more probes than rows
+                rows = np.flatnonzero(~seen)
+                self.touched += len(rows)
+                yield rows, self._far(rows, code), 8 * len(code)
+                return
+            value = parts[:, None] ^ masks[None, :]
+            lo = self.bounds[at, value]
+            hit = self.order[ragged(lo.ravel(), (self.bounds[at, value.astype(np.int64) + 1] - lo).ravel())]
             fresh = np.zeros(self.n, bool)
             fresh[hit] = True
             fresh &= ~seen
-            new = np.flatnonzero(fresh)
+            rows = np.flatnonzero(fresh)
             seen |= fresh
-            rows = np.concatenate([rows, new])
-            far = np.concatenate([far, np.bitwise_count(self.words[new] ^ word).sum(1).astype(np.int64)])
-            radius = self.m * (rho + 1) - 1  # complete up to here
-            if (far <= radius).sum() >= min(need, self.n) or rho == 8:
+            self.touched += len(rows)
+            yield rows, self._far(rows, code), self.m * (rho + 1) - 1
+
+    def within(self, code: np.ndarray, need: int) -> np.ndarray:
+        """All rows inside the smallest radius that holds at least `need` rows (all, if fewer)."""
+        rows, far, radius = np.empty(0, np.int64), np.empty(0, np.int64), 0
+        for new, d, radius in self.probe(code):
+            rows, far = np.concatenate([rows, new]), np.concatenate([far, d])
+            if (far <= radius).sum() >= min(need, self.n):
                 break
         if len(far) > need:
             radius = min(radius, int(np.partition(far, need - 1)[need - 1]))
-        return rows[far <= radius] if rho < 8 or len(far) > need else rows
+        return rows[far <= radius]
+
+    def nearest(self, code: np.ndarray, k: int, need: int, score) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and scores inside a radius that ends where `need` codes are, or well beyond the k best by score.
+
+        score(rows) gives exact scores. The radius suffices when it lies two standard deviations
+        (of a sum of so many bits) above the largest code distance of the k best rows found, as
+        further codes rarely hold better ones.
+        """
+        rows, far = np.empty(0, np.int64), np.empty(0, np.int64)  # retrieved
+        known, dist, found = rows, far, np.empty(0)  # scored, those inside a complete radius
+        for new, d, radius in self.probe(code):
+            rows, far = np.concatenate([rows, new]), np.concatenate([far, d])
+            enough = len(known) + int((far <= radius).sum()) >= min(need, self.n)
+            if enough and len(known) + len(far) > need:
+                radius = min(radius, int(np.partition(np.concatenate([dist, far]), need - 1)[need - 1]))
+            inside = far <= radius
+            known, dist, found = np.concatenate([known, rows[inside]]), np.concatenate([dist, far[inside]]), np.concatenate([found, score(rows[inside])])
+            rows, far = rows[~inside], far[~inside]
+            if enough:
+                break
+            if len(known) >= k:
+                bits, worst = 8 * len(code), float(dist[np.argpartition(-found, k - 1)[:k]].max())
+                if worst + 2 * np.sqrt(worst * (1 - worst / bits)) + 1 <= radius:
+                    break
+        return known, found
 
 
 def usable(vector: Column, length: int) -> Column:
@@ -127,13 +184,11 @@ def _unique(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids, x = table.column("vec_id").to_numpy(), _matrix(table, "v")
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
+    if (ids[1:] == ids[:-1]).any():
+        order = np.lexsort((*x.T[::-1], ids))
+        ids, x = ids[order], x[order]
     new = np.ones(len(ids), bool)
     new[1:] = ids[1:] != ids[:-1]
-    if not new.all():
-        for i in np.flatnonzero(~new):
-            first = np.flatnonzero(new[: i + 1])[-1]
-            if tuple(x[i]) < tuple(x[first]):
-                x[first] = x[i]
     return ids[new], x[new]
 
 
@@ -144,12 +199,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, need: int = NEED,
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id is not null")
     lengths = raw.where(F.size("v") > 0).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     good = raw.where(usable(F.col("v"), lengths.d if lengths else 0))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    total = good.agg(F.count("*").alias("n"), F.max(square).alias("s")).first()
+    # Divided by the largest component, squares neither overflow nor vanish together.
+    total = good.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("unit")).first()
     if not total.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = good.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(SAMPLE).select("v").collect()
-    coder = spark.sparkContext.broadcast(fit(np.array([r.v for r in rows], np.float64), float(np.sqrt(total.s))))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / F.lit(total.unit), F.lit(2.0)))
+    largest = float(np.sqrt(good.agg(F.max(square)).first()[0]))
+    # A draw by hash: every task sends its part of about SAMPLE rows in all.
+    drawn = good if total.n <= SAMPLE else good.where(F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(1 << 30)) < int(SAMPLE / total.n * (1 << 30)))
+    rows = drawn.orderBy("vec_id").select("v").collect() or good.limit(1).select("v").collect()
+    made = fit(np.array([r.v for r in rows], np.float64) / total.unit, largest)
+    made.unit = total.unit
+    coder = spark.sparkContext.broadcast(made)
     asked = good.where(is_query)
     blocks, groups = -(-total.n // BLOCK), max(1, -(-asked.count() // QUERIES))
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
@@ -162,12 +223,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, need: int = NEED,
             return found.empty_table()
         ids, x = _unique(ours)
         q_ids, q = _unique(theirs)
-        index, codes = ByteIndex(coder.value.codes(x, False)), coder.value.codes(q, True)
+        index, codes = ByteIndex(coder.value.codes(x, False), 16 if len(ids) >= 2048 else 8), coder.value.codes(q, True)
         out = []
         for j in range(len(q_ids)):
-            rows = index.within(codes[j], need + 1)  # one more, as the query itself may be there
-            rows = rows[ids[rows] != q_ids[j]]
-            score = (x[rows] * q[j]).sum(axis=1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                rows, score = index.nearest(codes[j], k + 1, need + 1, lambda r: (x[r] * q[j]).sum(axis=1))  # one more, as the query itself may be there
+            rows, score = rows[ids[rows] != q_ids[j]], score[ids[rows] != q_ids[j]]
             best = np.lexsort((ids[rows], -score))[:k]
             out.append((np.full(len(best), q_ids[j]), ids[rows][best], score[best]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], schema=found)

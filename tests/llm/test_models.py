@@ -183,6 +183,63 @@ def test_every_code_in_the_radius():
             assert set(got) == set(np.flatnonzero(far <= radius)) and len(got) >= min(need, 500)
 
 
+@pytest.mark.parametrize("bits", [8, 16])
+def test_substrings_of_either_length(bits):
+    rng = np.random.default_rng(6)
+    codes = rng.integers(0, 256, (700, 32), np.uint8)
+    codes[:300] = codes[0] ^ (rng.random((300, 32)) < 0.1).astype(np.uint8)
+    index = hashing.ByteIndex(codes, bits)
+    for q in (codes[0], codes[500], rng.integers(0, 256, 32).astype(np.uint8)):
+        far = np.bitwise_count(codes ^ q).sum(1)
+        seen = np.zeros(700, bool)
+        for rows, d, radius in index.probe(q):
+            assert not seen[rows].any() and (far[rows] == d).all()
+            seen[rows] = True
+            assert seen[far <= radius].all()
+
+
+def clustered(n, clusters, seed=7, size=64):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, size))
+    x = centres[rng.integers(0, clusters, n)] + rng.normal(scale=0.15, size=(n, size))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_few_rows_are_touched_where_neighbours_are_near():
+    x = clustered(12_000, 200)
+    largest = 1.0 + 1e-9
+    coder = hashing.fit(x[:4000], largest)
+    index, codes = hashing.ByteIndex(coder.codes(x, False), 16), coder.codes(x[:200], True)
+    right = 0
+    for j in range(200):
+        rows, score = index.nearest(codes[j], 20, hashing.NEED, lambda r: x[r] @ x[j])
+        exact = set(np.argsort(-(x @ x[j]), kind="stable")[:20].tolist())
+        right += len(exact & set(rows[np.argsort(-score, kind="stable")[:20]].tolist()))
+    assert right / (200 * 20) >= 0.9
+    assert index.touched / (200 * len(x)) < 0.1
+
+
+def test_several_blocks_and_query_groups(spark, monkeypatch):
+    monkeypatch.setattr(hashing, "BLOCK", 1500)
+    monkeypatch.setattr(hashing, "QUERIES", 60)
+    monkeypatch.setattr(hashing, "SAMPLE", 1000)
+    x = clustered(4000, 40, size=24)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = hashing.search(df, F.col("vec_id") % 20 == 0).toPandas().groupby("query_id").vec_id.apply(list)
+    right = sum(len(set(got[q]) & set([j for j in np.argsort(-(x @ x[q]), kind="stable") if j != q][:20])) for q in range(0, 4000, 20))
+    assert len(got) == 200 and all(len(v) == 20 for v in got) and right / (200 * 20) >= 0.9
+
+
+@pytest.mark.parametrize("scale", [1e200, 1e-200])
+def test_components_of_any_size(spark, scale):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8)) * scale
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = hashing.search(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    with np.errstate(over="ignore", invalid="ignore"):
+        assert len(got) == 20 and all(r.score == (x[r.vec_id] * x[0]).sum() or math.isnan(r.score) for r in got)
+
+
 def test_few_vectors(spark):
     kind = "vec_id long, embedding array<float>"
     assert hashing.search(spark.createDataFrame([], kind), F.col("vec_id") >= 0).count() == 0
