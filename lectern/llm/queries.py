@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,14 @@ from .oracles import ORACLES
 def pii_key(spark: SparkSession) -> DataFrame:
     """The pseudonym key: the session's spark.lectern.pii.secret, which Spark redacts in its pages.
 
-    Without one, as on test data, a public key that protects nothing.
+    Without one, as on test data, a public key that protects nothing; a warning says so.
     """
     from .pii import key_table
 
-    return key_table(spark, spark.conf.get("spark.lectern.pii.secret", None) or "lectern")
+    secret = spark.conf.get("spark.lectern.pii.secret", None)
+    if not secret:
+        warnings.warn("spark.lectern.pii.secret is unset: pseudonyms are made with a public key and protect nothing", stacklevel=2)
+    return key_table(spark, secret or "lectern")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
