@@ -15,7 +15,7 @@ from lectern.functions import models as M
 from lectern.functions import text as T
 from lectern.functions.identity import content_hash, set_hash
 from lectern.functions.vectors import cosine
-from lectern.operators import caches, chunking, ordered, profile, qa, retrieval, rope, session, store, workspaces
+from lectern.operators import caches, calls, chunking, ordered, profile, qa, retrieval, rope, session, store, workspaces
 from lectern.sources.html import page_items
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -425,6 +425,16 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extractions(spark, sf_dir).select("source", place.alias("fact"), "doc_id", "chunk_index", long(F.char_length("excerpt")).alias("excerpt_chars"))
 
 
+@query(f"""{_MAP.split(", found AS")[0]}, said AS (SELECT source, length(piece) AS n, length(coalesce({_TRIM.format(f"list_filter(string_split(piece, '.'), lambda s: contains(s, ' {WORD} '))[1]")}, 'NONE')) AS m FROM pieces)
+    SELECT source, count(*) AS calls, CAST(sum(greatest(1, n // 4)) AS BIGINT) AS prompt_tokens, CAST(sum(greatest(1, m // 4)) AS BIGINT) AS eval_tokens, round(sum(greatest(1, n // 4) / 1000 * 1000), 3) AS prompt_eval_ms, round(sum(greatest(1, m // 4) / 50 * 1000), 3) AS eval_ms FROM said GROUP BY source""")
+def call_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One timed call for each chunk, summed by source."""
+    pieces = chunking.split_column(table(spark, sf_dir, "documents"), "text", CHUNK, "source")
+    made, _ = calls.timed_calls(pieces.withColumnRenamed("piece", "prompt"), calls.SentenceGenerator(WORD))
+    sums = made.groupBy("source").agg(F.count("*").alias("calls"), *(F.sum(c).alias(n) for c, n in (("prompt_eval_count", "prompt_tokens"), ("eval_count", "eval_tokens"), ("prompt_eval_ms", "prompt_eval_ms"), ("eval_ms", "eval_ms"))))
+    return sums.withColumns({c: F.round(c, 3) for c in ("prompt_eval_ms", "eval_ms")})
+
+
 @query("SELECT conv_id, turn, CAST(k AS BIGINT) AS question, CASE WHEN k = 1 THEN 'prime,answer' ELSE 'answer' END AS labels, CAST(CASE WHEN k = 1 THEN 2 ELSE 1 END AS BIGINT) AS calls FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user')")
 def call_log_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.turn_labels(table(spark, sf_dir, "conversations").where("role = 'user'"), "conv_id", "turn").select("conv_id", "turn", "question", "labels", "calls")
