@@ -15,7 +15,7 @@ from lectern.functions import models as M
 from lectern.functions import text as T
 from lectern.functions.identity import content_hash, set_hash
 from lectern.functions.vectors import cosine
-from lectern.operators import caches, calls, chunking, ordered, profile, qa, retrieval, rope, session, store, workspaces
+from lectern.operators import caches, calls, chunking, ordered, profile, qa, retrieval, rope, session, sizing, store, workspaces
 from lectern.sources.html import page_items
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -664,23 +664,45 @@ def context_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.select("p_partkey", "kv", "safe_context", "context", M.context_report(F.col("context"), F.col("override").isNotNull(), F.lit(131072).cast("bigint"), nothing, F.col("free")).alias("why"))
 
 
-def parse_model_info(rows: DataFrame, key: str, json: str) -> DataFrame:
-    """key, context_length, original_context_length, key_length from metadata with prefixed names."""
-    fields = F.from_json(json, "map<string, string>")
-    by = lambda suffix: F.try_element_at(F.map_values(F.map_filter(fields, lambda k, _: F.endswith(k, F.lit(suffix)))), F.lit(1))
-    whole = lambda v: F.when(v.rlike(r"^\d+$"), v.cast("bigint"))
-    plausible = lambda n: F.when((n > 0) & (n <= 4294967295), n)
-    return rows.select(key, plausible(whole(by(".context_length"))).alias("context_length"), plausible(whole(by(".rope.scaling.original_context_length"))).alias("original_context_length"), M.json_average(F.try_parse_json(by(".attention.key_length"))).alias("key_length"))
-
-
 @query("""SELECT p_partkey, CAST(1024 * (1 + p_size) AS BIGINT) AS context_length, CASE WHEN p_partkey % 2 = 0 THEN CAST(512 * p_size AS BIGINT) END AS original_context_length,
     CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) WHEN p_partkey % 3 = 1 THEN (p_size + 128) / 3.0 END AS key_length FROM part""")
 def model_info_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sizing.parse_model_info(table(spark, sf_dir, "part").select("p_partkey", _metadata().alias("json")), "p_partkey", "json")
+
+
+def _metadata() -> Column:
+    """Metadata of a part taken as a model: with or without a trained window, with key lengths of each kind."""
     size, k = F.col("p_size").cast("string"), F.col("p_partkey")
     original = F.when(k % 2 == 0, F.concat(F.lit(', "m.rope.scaling.original_context_length": '), (F.col("p_size") * 512).cast("string"))).otherwise("")
     length = F.when(k % 3 == 0, F.concat(F.lit(', "m.attention.key_length": '), size)).when(k % 3 == 1, F.concat(F.lit(', "m.attention.key_length": ['), size, F.lit(', 128, "x"]'))).otherwise(', "m.attention.key_length": []')
-    json = F.concat(F.lit('{"m.context_length": '), ((F.col("p_size") + 1) * 1024).cast("string"), original, length, F.lit("}"))
-    return parse_model_info(table(spark, sf_dir, "part").select("p_partkey", json.alias("json")), "p_partkey", "json")
+    return F.concat(F.lit('{"m.context_length": '), ((F.col("p_size") + 1) * 1024).cast("string"), original, length, F.lit("}"))
+
+
+_MODELS = """
+    m AS (SELECT p_partkey, CAST(1024 * (1 + p_size) AS BIGINT) AS nominal, CASE WHEN p_partkey % 2 = 0 THEN CAST(512 * p_size AS BIGINT) END AS trained,
+        CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) WHEN p_partkey % 3 = 1 THEN (p_size + 128) / 3.0 ELSE 64.0 END AS head_dim,
+        CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE CAST(p_size AS BIGINT) * 100000000 END AS weights, CASE WHEN p_partkey % 7 <> 0 THEN CAST(trunc(p_retailprice * 100) AS BIGINT) * 100000 END AS free,
+        CASE WHEN p_partkey % 10 = 0 THEN CAST(8192 AS BIGINT) END AS override FROM part),
+    n AS (SELECT *, CAST(trunc(2 * (p_partkey % 40) * 8 * head_dim * 2) AS BIGINT) AS kv, coalesce(trained, nominal) AS ceiling FROM m),
+    s AS (SELECT *, CASE WHEN kv = 0 OR free IS NULL THEN ceiling ELSE least(ceiling, greatest(greatest(CAST(floor(free * 0.85) AS BIGINT) - weights - 1000000000, 0) // nullif(kv, 0), 4096)) END AS safe FROM n),
+    c AS (SELECT *, coalesce(override, safe) AS context FROM s)"""
+
+
+@query(f"""WITH {_MODELS} SELECT p_partkey, nominal, trained, round(head_dim, 6) AS head_dim, kv, CAST(safe AS BIGINT) AS safe, CAST(context AS BIGINT) AS context,
+    CASE WHEN override IS NOT NULL THEN 'override' WHEN context = nominal THEN 'nominal' WHEN free IS NULL THEN 'trained, memory unknown' WHEN context < ceiling THEN 'capped by memory' ELSE 'trained' END AS why FROM c""")
+def model_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    models = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        _metadata().alias("metadata"),
+        F.when(k % 11 != 0, long("p_size") * 100000000).alias("weights"),
+        (k % 40).alias("layers"),
+        F.lit(8).alias("kv_heads"),
+        F.lit(64).alias("head_dim"),
+        F.when(k % 7 != 0, long(F.col("p_retailprice") * 100) * 100000).alias("free"),
+    )
+    made = sizing.estimate_models(models, "p_partkey", F.when(F.col("p_partkey") % 10 == 0, 8192))
+    return made.select("p_partkey", "nominal", "trained", F.round("head_dim", 6).alias("head_dim"), "kv", "safe", "context", "why")
 
 
 # --- serving -------------------------------------------------------------------------------
