@@ -254,7 +254,7 @@ def test_few_vectors(spark):
 
 
 def test_pipeline(spark):
-    from .brute import contamination, links
+    from .brute import contamination, links, pseudonymise
 
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
@@ -274,6 +274,8 @@ def test_pipeline(spark):
         else:
             want = {i for i, _ in rows}
         assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(want), name
+        if name == "privacy":
+            assert {r.doc_id: r.text for r in out.collect()} == {i: pseudonymise(t, "lectern")[0] for i, t in rows}
         if name != "encoding":
             assert out.columns == docs.columns
             now = out.cache()
@@ -281,6 +283,57 @@ def test_pipeline(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == want
 
 
+def test_pipeline_decides_by_each_rows_own_text(spark, tmp_path):
+    """Repeated and null ids, and columns named like inner ones, against brute force."""
+    from .brute import contamination, links
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(corpus_pipeline.STAGES)
+    rng = np.random.default_rng(12)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n))
+    base, other, item = text(60), text(60), text(12)
+    near = base.split()
+    near[-1] = "zzzzz"
+    rows = [(1, base), (1, other), (2, " ".join(near)), (3, other), (None, base), (None, text(30)), (None, None), (4, None), (5, ""), (5, ""), (6, f"{text(5)} {item}"), (6, text(20)), (None, f"{item} {text(3)}"), (7, base)]
+    extra = ["_key1", "_key2", "_pii", "s1", "component"]
+    docs = spark.createDataFrame([(*r, *[k] * len(extra)) for k, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{c} long" for c in extra)).repartition(3)
+    items = [("i", item)]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    # Of each group of linked rows that with the smallest id stays, once; rows without words stay.
+    found = stages["near_duplicates"](spark, docs, str(tmp_path))
+    assert found.columns == docs.columns
+    low = links(rows)
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        if low[k][1]:  # it has shingles
+            sets = {frozenset(tuple((t or "").split()[p : p + 5]) for p in range(max(1, len((t or "").split()) - 4)))}
+            groups.setdefault(next(iter(sets)), []).append(k)
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in found.collect())
+    clusters = []  # classes of equal sets, joined where they are near
+    for s, members in groups.items():
+        near_to = [c for c in clusters if any(100 * len(s & o) >= 75 * len(s | o) for o in c[0])]
+        merged = ([s], list(members))
+        for c in near_to:
+            clusters.remove(c)
+            merged = (merged[0] + c[0], merged[1] + c[1])
+        clusters.append(merged)
+    want = [(i, t) for k, (i, t) in enumerate(rows) if not low[k][1]]
+    for _, members in clusters:
+        ids = [rows[k][0] for k in members]
+        best = min(((i is None, i or 0) for i in ids))
+        want.append((None if best[0] else best[1], None))
+    assert sorted((i is None, i or 0) for i, _ in want) == sorted(x[:2] for x in kept)
+    for _, members in clusters:
+        assert sum((r[2] in {rows[k][1] for k in members}) for r in kept) == 1
+
+    clean = stages["contamination"](spark, docs, str(tmp_path))
+    hit = contamination(rows, items)
+    assert clean.columns == docs.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in clean.collect()))) == sorted(map(repr, (r for r, h in zip(rows, hit) if not h[-1])))
+    assert stages["privacy"](spark, docs, str(tmp_path)).columns == docs.columns
+
+
 def test_pipeline_odd_rows(spark, corpus, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     for name, df in (("documents", spark.createDataFrame([(i, t, "en", "s", 1) for i, t in corpus], "doc_id long, text string, lang string, source string, n_chars long")), ("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([], "item_id long, text string"))):
