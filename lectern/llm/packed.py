@@ -104,7 +104,12 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFram
     """
     bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(bloom(ids, column))
-    slots = bloom_slots(column)
+    taken, slots = {c.lower() for c in docs.columns}, []
+    for k, c in enumerate(bloom_slots(column)):
+        name = f"_slot{k}"
+        while name in taken:
+            name += "_"
+        slots.append(c.alias(name))
 
     def side(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
