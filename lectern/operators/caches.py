@@ -13,6 +13,8 @@ from .ordered import running_sum, segmented_last
 # Bytes of the parse cache, and what a text must share with the last one.
 PARSE_CAPACITY = 10 << 30
 PREFIX_CHARS, PREFIX_SHARE = 2000, 0.5
+#: Characters of a block whose digest tells texts apart.
+BLOCK = 512
 
 
 def context_capacity(free_bytes: int) -> int:
@@ -56,6 +58,35 @@ def append_only(new: DataFrame, last: DataFrame, *keys: str, least: int = PREFIX
     return met.where(fine).select(*keys, "prefix", suffix.alias("suffix")).where("suffix <> ''")
 
 
+def extended(pairs: DataFrame, texts: DataFrame, new: str, old: str, least: int = PREFIX_CHARS, share: float = PREFIX_SHARE) -> DataFrame:
+    """Pairs of keys whose texts (doc, text) are append_only(): new, old, prefix and suffix_chars.
+
+    No text meets another. Pairs meet digests of blocks, of which the first holds `least`
+    characters; then each takes the two blocks in which its texts part. Equal blocks are kept once,
+    however many texts share them.
+    """
+    long_ = texts.where(F.char_length("text") >= least)
+    blocks = F.concat(F.array(F.left("text", F.lit(least))), F.regexp_extract_all(F.substring("text", least + 1, (1 << 31) - 1), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    digest = lambda b: F.unhex(F.md5(b.cast("binary")))
+    marks = written(long_.select("doc", F.char_length("text").alias("_n"), F.transform(blocks, digest).alias("_marks")))
+    side = lambda name, tag: marks.select(F.col("doc").alias(name), F.col("_n").alias(f"_n_{tag}"), F.col("_marks").alias(f"_marks_{tag}"))
+    met = pairs.select(new, old).join(side(new, "new"), new).join(side(old, "old"), old)
+    parted = F.array_position(F.zip_with("_marks_new", "_marks_old", lambda a, b: a.eqNullSafe(b)), F.lit(False))
+    met = met.withColumn("_at", parted.cast("int")).where("_at > 1")  # 0: the same text; 1: another start
+    shared = (F.lit(least) + (F.col("_at") - 2) * BLOCK).cast("bigint")
+    met = met.select(new, old, "_n_new", "_n_old", shared.alias("_shared"), F.get("_marks_new", F.col("_at") - 1).alias("_m_new"), F.get("_marks_old", F.col("_at") - 1).alias("_m_old"))
+    # A new text that ends with the shared blocks adds nothing, whatever the old one goes on with.
+    met = written(met.where("_m_new is not null"))
+    tails = long_.select(F.explode(F.slice(blocks, 2, (1 << 31) - 1)).alias("_block")).distinct().select(digest(F.col("_block")).alias("_m"), "_block")
+    wanted = met.select(F.explode(F.array("_m_new", "_m_old")).alias("_m")).where("_m is not null").distinct()
+    tails = written(tails.join(wanted, "_m"))
+    part = lambda tag: tails.select(F.col("_m").alias(f"_m_{tag}"), F.col("_block").alias(f"_b_{tag}"))
+    met = met.join(part("new"), "_m_new").join(part("old"), "_m_old", "left")
+    met = met.withColumn("prefix", F.col("_shared") + F.coalesce(common_prefix(F.col("_b_new"), F.col("_b_old")), F.lit(0).cast("bigint")))
+    fine = (F.col("prefix") >= F.col("_n_old") * share) & (F.col("prefix") < F.col("_n_new"))
+    return met.where(fine).select(new, old, "prefix", (F.col("_n_new") - F.col("prefix")).alias("suffix_chars"))
+
+
 def prefix_pairs(docs: DataFrame, key: str, least: int = PREFIX_CHARS, share: float = PREFIX_SHARE) -> DataFrame:
     """key, before, prefix: every text with each different one of a smaller key whose start it keeps.
 

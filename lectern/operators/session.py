@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lectern.storage import Workspace, steady
 
-from .caches import PREFIX_CHARS, PREFIX_SHARE, append_only
+from .caches import PREFIX_CHARS, PREFIX_SHARE, extended
 from .ordered import segmented_last
 
 # The labels of the calls.
@@ -66,9 +66,8 @@ def resolve_contexts(events: DataFrame, texts: DataFrame, mode: str = "swap", re
     state = work.save(state)
     # Texts are compared once for each pair of documents that may extend each other.
     pairs = state.where("_warm is null and _kept").select("doc", F.col("_last")).distinct()
-    side = lambda name, out: pairs.join(texts.select(F.col("doc").alias("_d"), "text"), F.col(name) == F.col("_d")).select("doc", "_last", F.col("text"))
-    grown = append_only(side("doc", "text"), side("_last", "text"), "doc", "_last", least=least, share=share)
-    grown = grown.select(F.col("doc").alias("_a"), F.col("_last").alias("_b"), F.char_length("suffix").alias("_suffix"))
+    grown = extended(pairs, texts, "doc", "_last", least, share)
+    grown = grown.select(F.col("doc").alias("_a"), F.col("_last").alias("_b"), F.col("suffix_chars").alias("_suffix"))
     state = state.join(grown, (F.col("doc") == F.col("_a")) & (F.col("_last") == F.col("_b")) & F.col("_kept") & F.col("_warm").isNull(), "left")
     tier = F.when(F.col("_warm"), F.when(F.col("_wanted"), "cache").otherwise("cold")).when(F.col("_suffix").isNotNull(), "prefix").otherwise("cold")
     found = result(state, tier, F.col("_suffix")).unionByName(result(known.where("_active"), F.lit("memory"))).unionByName(result(asks.where("not _loaded"), F.lit("refused")))
