@@ -18,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import utrim
-from lectern.storage import Workspace, steady
+from lectern.storage import Workspace, bounded, steady
 
 from .ordered import segmented_sum
 
 # The code points that count as white space.
 WHITE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+BLANK = "".join(map(chr, WHITE))
 #: Characters of a block; at least as many as one piece may hold.
 BLOCK = 1 << 16
+#: Blocks at most whose small rows are sent to every task rather than joined by an exchange of the texts.
+SENT = 1 << 20
 
 
 class Cuts:
@@ -119,9 +121,14 @@ def _entries(work: Workspace, maps: DataFrame, group: str) -> DataFrame:
     return now.select(group, "block", "entry")
 
 
+def _sent(small: DataFrame) -> DataFrame:
+    """A saved table of a few numbers for each block, broadcast unless there are very many."""
+    return F.broadcast(small) if small.count() <= SENT else small
+
+
 def _entered(blocks: DataFrame, entries: DataFrame, group: str) -> DataFrame:
     other = entries.select(F.col(group).alias("_g"), F.col("block").alias("_b"), "entry")
-    met = blocks.join(other, F.col(group).eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_b")), "left")
+    met = blocks.join(_sent(other), F.col(group).eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_b")), "left")
     return met.drop("_g", "_b").withColumn("entry", F.coalesce("entry", F.lit(0).cast("long")))
 
 
@@ -168,7 +175,7 @@ def split_corpus(parts: DataFrame, group: str, *order: str, most: int, text: str
     if block < most:
         raise ValueError("a block must hold a whole piece")
     steady(parts.sparkSession)
-    work, tail = Workspace(parts.sparkSession, "rope"), len(separator)
+    work, tail = Workspace(bounded(parts.sparkSession), "rope"), len(separator)
     closed = parts.withColumn(text, F.concat(F.col(text), F.lit(separator)))
     blocks = work.save(text_blocks(closed, group, *order, text=text, block=block, more=most + tail))
     maps = _maps(blocks, group, lambda row: _text_cuts(row, most, block, tail)[0], ["text"], most)
@@ -180,16 +187,20 @@ def split_corpus(parts: DataFrame, group: str, *order: str, most: int, text: str
                 cuts, t = _text_cuts(row, most, block, tail)
                 p = cuts.walk(row["entry"]).tolist()
                 whole = row["block"] == 0 and cuts.end is not None and cuts.end <= most
-                pieces = [(row["block"] * block + a, t[a:b], whole) for a, b in zip(p, p[1:])] or ([(0, "", True)] if whole else [])
+                cut = [(row["block"] * block + a, t[a:b]) for a, b in zip(p, p[1:])] or ([(0, "")] if whole else [])
+                pieces = [(a, x) for a, x in ((a, x.strip(BLANK)) for a, x in cut) if whole or x]
                 if pieces:
-                    start, piece, flag = zip(*pieces)
+                    start, piece = zip(*pieces)
                     one = pa.array([j] * len(pieces))
-                    yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(group)).take(one), batch.column(batch.schema.get_field_index("block")).take(one), pa.array(start, pa.int64()), pa.array(piece, pa.string()), pa.array(flag)], [group, "block", "start", "piece", "whole"])
-
-    cut = ready.mapInArrow(run, f"{_kind(parts, group)}, block long, start long, piece string, whole boolean")
-    kept = work.save(cut.withColumn("piece", utrim(F.col("piece"))).where("whole or piece <> ''").drop("whole", "block"))
-    numbered = segmented_sum(kept, F.lit(1).cast("long"), group, "start", name="chunk_index")
-    return numbered.select(group, (F.col("chunk_index") - 1).alias("chunk_index"), "start", "piece")
+                    yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(group)).take(one), batch.column(batch.schema.get_field_index("block")).take(one), pa.array(range(len(pieces)), pa.int64()), pa.array(start, pa.int64()), pa.array(piece, pa.string())], [group, "block", "chunk_index", "start", "piece"])
+
+    kept = work.save(ready.mapInArrow(run, f"{_kind(parts, group)}, block long, chunk_index long, start long, piece string"))
+    # Pieces are numbered inside their blocks; only the blocks' counts are summed along a group.
+    counts = kept.groupBy(group, "block").agg(F.count("*").alias("_n"))
+    before = segmented_sum(counts, F.col("_n"), group, "block", name="_upto")
+    before = work.save(before.select(F.col(group).alias("_g"), F.col("block").alias("_b"), (F.col("_upto") - F.col("_n")).alias("_off")))
+    met = kept.join(_sent(before), F.col(group).eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_b")))
+    return met.select(group, (F.col("_off") + F.col("chunk_index")).alias("chunk_index"), "start", "piece")
 
 
 def pack_facts(facts: DataFrame, group: str, order: str, size: Column, most: int, block: int | None = None) -> DataFrame:

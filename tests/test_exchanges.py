@@ -5,7 +5,7 @@ import string
 
 from pyspark.sql import functions as F
 
-from lectern.operators import caches, ordered
+from lectern.operators import caches, ordered, rope
 
 
 def exchanged(spark, run):
@@ -49,3 +49,11 @@ def test_extended_exchanges_blocks_not_texts(spark):
                 want.add((new, old, n, len(a) - n))
     assert set(got) == want and len(got) == len(want) > 1000
     assert size < sum(map(len, texts.values()))
+
+
+def test_corpus_chunks_exchange_texts_twice(spark):
+    rng = random.Random(7)
+    rows = [("g", k, " ".join(noise(rng, 9) for _ in range(250))) for k in range(400)]
+    table = spark.createDataFrame(rows, "g string, k int, t string")
+    size = exchanged(spark, lambda: rope.split_corpus(table, "g", "k", most=800, text="t").write.format("noop").mode("overwrite").save())
+    assert size < 2.5e6
