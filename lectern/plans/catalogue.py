@@ -778,20 +778,21 @@ def _zipped(docs: DataFrame) -> DataFrame:
     import io
     import zipfile
 
-    import pandas as pd
+    import pyarrow as pa
 
     def make(batches):
         for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                raw = io.BytesIO()
-                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-                    for name, body in (("a.txt", r.text), ("b/c.txt", r.text[::-1]), ("nested.ZIP", "x"), ("../out.txt", "x")):
-                        z.writestr(name, body)
-                rows.append((f"{r.doc_id}.zip", r.doc_id, raw.getvalue()))
-            yield pd.DataFrame(rows, columns=["path", "pos", "content"])
-
-    return docs.select("doc_id", "text").mapInPandas(make, "path string, pos int, content binary")
+            for ids, texts in ((batch.column(0)[k : k + 256], batch.column(1)[k : k + 256]) for k in range(0, batch.num_rows, 256)):
+                made = []
+                for text in texts.to_pylist():
+                    raw = io.BytesIO()
+                    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                        for name, body in (("a.txt", text), ("b/c.txt", text[::-1]), ("nested.ZIP", "x"), ("../out.txt", "x")):
+                            z.writestr(name, body)
+                    made.append(raw.getvalue())
+                yield pa.RecordBatch.from_arrays([pa.array([f"{x}.zip" for x in ids.to_pylist()]), ids.cast(pa.int32()), pa.array(made, pa.binary())], ["path", "pos", "content"])
+
+    return docs.select("doc_id", "text").mapInArrow(make, "path string, pos int, content binary")
 
 
 @query("SELECT doc_id || '.zip' AS path, 'a.txt' AS name, CAST(strlen(text) AS BIGINT) AS bytes FROM documents UNION ALL SELECT doc_id || '.zip', 'b/c.txt', strlen(text) FROM documents")

@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from lectern.functions.text import file_name
 from lectern.operators.chunking import parse_converted
 
 ENTRY = "path string, pos int, name string, content binary"
+ENTRY_NAMES, ENTRY_TYPES = ["path", "pos", "name", "content"], [pa.string(), pa.int32(), pa.string(), pa.binary()]
+#: Bytes of entries that go out together, or one entry.
+ENTRIES_BYTES = 4 << 20
 
 
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -67,20 +71,33 @@ def expand_zips(files: DataFrame, nested: bool = False) -> DataFrame:
     Entries with unsafe names are skipped; archives inside archives are entries that are never
     opened, and are left out unless `nested`.
     """
-    is_zip = F.lower(F.col("path")).endswith(".zip")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def entries(path: str, name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
+        if not path.lower().endswith(".zip"):
+            yield name, content
+            return
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for e in z.infolist():
+                if not e.is_dir() and safe_entry(e.filename) and (nested or not e.filename.lower().endswith(".zip")):
+                    yield e.filename, z.read(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, size = [], 0
         for batch in batches:
-            for r in batch.itertuples():
-                with zipfile.ZipFile(io.BytesIO(r.content)) as z:
-                    for e in z.infolist():
-                        if not e.is_dir() and safe_entry(e.filename):
-                            yield pd.DataFrame([(r.path, r.pos, e.filename, z.read(e))], columns=["path", "pos", "name", "content"])
-
-    inside = files.where(is_zip).select("path", "pos", "content").mapInPandas(run, ENTRY)
-    if not nested:
-        inside = inside.where(~F.lower("name").endswith(".zip"))
-    return files.where(~is_zip).select("path", "pos", file_name(F.col("path")).alias("name"), "content").unionByName(inside)
+            for k in range(batch.num_rows):
+                path, pos, name, content = (c[k].as_py() for c in batch.columns)
+                for entry, data in entries(path, name, content):
+                    made.append((path, pos, entry, data))
+                    size += len(data or b"") + 64
+                    if size >= ENTRIES_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), ENTRY_TYPES)], ENTRY_NAMES)
+                        made, size = [], 0
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), ENTRY_TYPES)], ENTRY_NAMES)
+
+    # One pass over the files: what makes them isn't run once for archives and once for the others.
+    named = files.where("path is not null").select("path", F.col("pos").cast("int").alias("pos"), file_name(F.col("path")).alias("name"), "content")
+    return named.mapInArrow(run, ENTRY)
 
 
 def hashed_set(files: DataFrame) -> str:

@@ -1,11 +1,14 @@
 """Bytes that scans and prefix comparisons exchange, and the latter's results."""
 
+import io
 import random
 import string
+import zipfile
 
 from pyspark.sql import functions as F
 
 from lectern.operators import caches, ordered, rope
+from lectern.sources import files
 
 
 def exchanged(spark, run):
@@ -57,3 +60,24 @@ def test_corpus_chunks_exchange_texts_twice(spark):
     table = spark.createDataFrame(rows, "g string, k int, t string")
     size = exchanged(spark, lambda: rope.split_corpus(table, "g", "k", most=800, text="t").write.format("noop").mode("overwrite").save())
     assert size < 2.5e6
+
+
+def test_archives_are_made_and_read_in_one_pass(spark, tmp_path):
+    """Files that a costly step makes are made once, and other files keep their rows."""
+    made = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for name, body in (("a.txt", "é"), ("d/", ""), ("n.ZIP", "x"), ("../b", "x"), ("e", "")):
+            z.writestr(name, body)
+    rows = [("/x/one.ZIP", 0, raw.getvalue()), ("/x/plain.txt", 1, b"t"), ("/x/none", 2, None), ("two.zip", 3, raw.getvalue())]
+    table = spark.createDataFrame(rows, "path string, pos int, content binary").mapInArrow(make, "path string, pos int, content binary")
+    got = {(r.path, r.pos, r.name, None if r.content is None else bytes(r.content)) for r in files.expand_zips(table).collect()}
+    inside = [("a.txt", "é".encode()), ("e", b"")]
+    assert got == {(p, k, *e) for p, k in (("/x/one.ZIP", 0), ("two.zip", 3)) for e in inside} | {("/x/plain.txt", 1, "plain.txt", b"t"), ("/x/none", 2, "none", None)}
+    assert made.value == len(rows)
