@@ -124,7 +124,7 @@ def answer_all(groups: DataFrame, extractions: DataFrame, group: str, *order: st
     return groups.select(group).distinct().join(reduce_phase(extractions, group, *order), group, "left").select(group, F.coalesce("facts", F.lit("")).alias("facts"), F.coalesce("n_facts", F.lit(0).cast("bigint")).alias("n_facts"))
 
 
-def recursive_reduce(facts: DataFrame, group: str, order: str, budget: int, extract, excerpt: str = "excerpt", block: int | None = None) -> DataFrame:
+def recursive_reduce(facts: DataFrame, group: str, order: str | int, budget, extract=None, excerpt: str = "excerpt", block: int | None = None) -> DataFrame:
     """Pack and reduce facts until what a group says fits the budget: group, part, facts, first, last, rounds, over.
 
     facts holds one row for each excerpt, numbered within its group. In each round neighbours are
@@ -132,7 +132,10 @@ def recursive_reduce(facts: DataFrame, group: str, order: str, budget: int, extr
     range of numbers that its pack came from. A group is done when one pack holds it all. One
     that no longer shrinks is returned in parts, flagged `over`; one of which nothing relevant is
     left has empty facts and cites nothing. Rounds have no limit: every one shrinks its groups.
+    Without `order`, as (facts, group, budget, extract), each row holds a group's joined `facts`.
     """
+    if extract is None:
+        facts, order, budget, extract = facts.select(group, F.lit(0).cast("long").alias("_fact"), F.col("facts").alias(excerpt)), "_fact", order, budget
     steady(facts.sparkSession)
     work, gap = Workspace(facts.sparkSession, "reduce"), len(SEPARATOR)
     # An excerpt over the budget comes in pieces that cite the same number.
