@@ -150,3 +150,11 @@ def test_levels_of_far_turns(spark):
     edges = [(node(0), None, 0), (node(2_000_000), node(0), 2_000_000), (node(3_000_000_000), node(2_000_000), 2_998_000_000), (node(7), None, 7), (node(9), node(7), 2), (node(9), node(0), 1)]
     table = spark.createDataFrame(edges, "node struct<c:string,k:long>, needs struct<c:string,k:long>, dist long")
     assert {r.node.k: r.level for r in qa.dependency_levels(spark, table).collect()} == {0: 0, 7: 7, 9: 9, 2_000_000: 2_000_000, 3_000_000_000: 3_000_000_000}
+
+
+def test_more_rounds_than_the_sql_unrolls(spark):
+    """Packs of two facts halve a group each round; no round is the last by number."""
+    facts = [f"a that {k:04d}" + "y" * 24 for k in range(300)]
+    table = spark.createDataFrame([("g", k, t) for k, t in enumerate(facts)], "g string, k long, excerpt string")
+    got = [(r.part, r.facts, r.first, r.last, r.rounds, r.over) for r in qa.recursive_reduce(table, "g", "k", 80, lambda p: qa.extract_sentence(p, "that", qa.FACT_ENDS)).collect()]
+    assert got == plain_reduce(facts, 80, "that") and got[0][4] > 7
