@@ -131,3 +131,18 @@ def test_ranges_and_proximity(spark):
     assert {x.doc_id for x in proximity(df, "c A b", 5).collect()} == {1}
     assert {x.doc_id for x in proximity(df, "c A b", 7).collect()} == {1, 2}
     assert np.array(proximity(df, "!", 5).collect()).size == 0
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    """Each round of joins is a dozen stages, however few its links; links of one task are joined there."""
+    from lectern.llm import components
+
+    edges = [(k, k + 1) for k in range(300)] + [(900 - k, 900) for k in range(1, 100)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    work = Workspace(spark, "t")
+    want = {k: 0 for k in range(301)} | {k: 801 for k in range(801, 901)}
+    assert {r.node: r.root for r in connected_components(df, work, most=0).collect()} == want
+    monkeypatch.setattr(components, "TASK_BYTES", 512)  # many tasks, several turns in each
+    monkeypatch.setattr(components, "HELD", 16)
+    assert {r.node: r.root for r in connected_components(df, work).collect()} == want
+    assert connected_components(df.limit(0), work).count() == 0
