@@ -51,6 +51,7 @@ STEP, OVERLAP = 480, 6
 #: Rows computed at a time.
 ROWS = 2048
 _NONE, _FILL = -1, 0x10FFFF + 1
+_EMPTY = np.empty(0, np.int32)
 _BASE = 0x9E3779B97F4A7C15 & ~7 | 5
 
 
@@ -260,11 +261,29 @@ class Encoder:
 
     def words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word. A word is a string of characters with spaces as SPACE."""
+        done: list[np.ndarray] = [_EMPTY] * len(words)
+        exact: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            exact.setdefault(min(len(w), EXACT + 1), []).append(k)
+        longer = exact.pop(EXACT + 1, [])
+        exact.pop(0, None)
+        for n, rows in exact.items():
+            step = (1 << 20) // n
+            for lo in range(0, len(rows), step):
+                part = rows[lo : lo + step]
+                codes = np.frombuffer("".join([words[k] for k in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+                for k, ids in zip(part, self._trace(codes, np.full(len(part), n), *self._ends(codes))):
+                    done[k] = ids
+        for k, ids in zip(longer, self._longer([words[k] for k in longer])):
+            done[k] = ids
+        return done
+
+    def _longer(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words of more than EXACT characters."""
         out: list[list[np.ndarray]] = [[] for _ in words]
-        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+        by_size: dict[int, list[tuple[int, int]]] = {}
         for k, w in enumerate(words):
-            codes = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
-            for part in self._cut(codes) if len(codes) > EXACT else (codes,):
+            for part in self._cut(np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)):
                 if len(part):
                     at = len(out[k])
                     out[k].append(part)
@@ -431,18 +450,15 @@ class Encoder:
             at[live] = back[at[live], live]
             live = live[at[live] > 0]
         plain = (path != _NONE).all(axis=0)
-        out = []
         columns = np.ascontiguousarray(path.T)
-        for k in range(rows):
-            ids = columns[k]
-            ids = ids[ids != -2]
-            if not plain[k]:
-                ends = np.flatnonzero(columns[k] != -2)
-                flat: list[int] = []
-                for e, i in zip(ends.tolist(), ids.tolist()):
-                    flat += [i] if i != _NONE else self._bytes(chr(codes[k, e]), flat)
-                ids = np.array(flat)
-            out.append(ids.astype(np.int32))
+        used = columns != -2
+        all_ids, bounds = columns[used].astype(np.int32), np.concatenate(([0], np.cumsum(used.sum(axis=1)))).tolist()
+        out = [all_ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        for k in np.flatnonzero(~plain).tolist():
+            flat: list[int] = []
+            for e, i in zip(np.flatnonzero(used[k]).tolist(), out[k].tolist()):
+                flat += [i] if i != _NONE else self._bytes(chr(codes[k, e]), flat)
+            out[k] = np.array(flat, np.int32)
         return out
 
     def _bytes(self, c: str, before: list[int]) -> list[int]:

@@ -181,3 +181,14 @@ def test_encode_then_decode(docs, corpus):
 
 def test_round_trip_empty(empty):
     assert pieces.round_trip(empty).count() == 0
+
+
+def test_short_words_are_encoded_by_length_not_one_by_one(monkeypatch):
+    from lectern.llm import pieces
+
+    words = ["", "x", "▁a", "▁" + "ab" * 9 + "c", "▁" + "abc" * 7, "é🙂日", "\ud800"] * 2
+    encoder, seen, longer = pieces.Encoder(pieces.load(pieces.default_model())), [], pieces.Encoder._longer
+    one_by_one = [encoder.words([w])[0].tolist() for w in words]
+    monkeypatch.setattr(pieces.Encoder, "_longer", lambda self, ws: seen.extend(ws) or longer(self, ws))
+    assert [x.tolist() for x in encoder.words(words)] == one_by_one
+    assert seen == [w for w in words if len(w) > pieces.EXACT] and len(seen) == 2
