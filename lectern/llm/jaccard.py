@@ -404,7 +404,9 @@ def link_documents(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(3
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     doc = F.when(F.col("doc_id") != _NULL, F.col("doc_id"))
     full = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(doc).alias("low"), F.count("*").alias("copies"))
-    full = full.join(kept.select("c1", "c2", "c"), ["c1", "c2"], "left").join(named.withColumnRenamed("node", "c"), "c", "left").join(links, "c", "left")
+    # By c first, which the other classes lack: their nulls would all go to one task.
+    known = kept.select("c1", "c2", "c").join(named.withColumnRenamed("node", "c"), "c", "left").join(links, "c", "left")
+    full = full.join(known, ["c1", "c2"], "left")
     full = work.save(full)
     # Most classes are their own component; only the others meet.
     low = work.save(full.where("root is not null").groupBy("root").agg(F.min("low").alias("least")))
