@@ -1,5 +1,7 @@
 """What the model of op11 learns from."""
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -47,3 +49,36 @@ def test_frozen_models_score_alike():
     flat = start(shape, rng.random(64) * 100)
     s, t, w = rng.integers(0, 64, (20, 16)), rng.integers(0, 64, (20, 16)), rng.random((20, 16)) < 0.8
     assert Model(shape, flat).freeze().score(s, t, w) == pytest.approx(Model(shape, flat).score(s, t, w), abs=1e-4)
+
+
+def test_every_training_word_lies_in_one_class_or_is_a_token(spark):
+    """Shares of a class and its unseen word sum to one; no word is left out, however long or seldom."""
+    rng = np.random.default_rng(6)
+    words = {"".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 7))): int(rng.integers(1, 9)) for _ in range(2000)} | {"ñu": 3, "9": 1, "é" * 40: 5000, "the": 4000}
+    counts = spark.createDataFrame([*words.items(), ("", 70)], "word string, n long")
+    tokens = scoring.model_tokens(counts, 64)
+    data, start, end, hashes, _ = scoring.spelled(pa.array([*words]))
+    n, target = np.array([*words.values()]), tokens(hashes, scoring.spellings(data, start, end))
+    assert tokens.counts.sum() == n.sum() + 70 and tokens.classes == 31
+    assert np.bincount(target, n, 64)[1:].tolist() == tokens.counts[1:].tolist()  # the end is the first
+    assert dict(zip(words, target.tolist()))["é" * 40] == 32  # the most frequent word, though of 80 bytes
+    used = np.bincount(target, n + 1, 64)[1:32] + 1
+    assert 10**tokens.share == pytest.approx(used) and tokens.counts[1:32].max() < 4 * tokens.counts[1:32].mean()
+
+
+def test_words_that_are_no_tokens_are_predicted_in_context(spark):
+    """Words that occur once or never follow what words spelled alike follow."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"a q{k}{j} b z{k}{j}" for j in range(40)) for k in rng.permutation(300)]
+    tried = ["a qx b zy " * 20, "a zy b qx " * 20]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    held = [k for k in range(1000, 1100) if held_out(k)][:2]
+    docs = spark.createDataFrame(rows + list(zip(held, tried)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in scoring.score_documents(docs, shape=Shape(8, 8, 8, 12, 16), draw=4096, steps=200).collect()}
+    one, two = (got[k] for k in held)
+    assert one.held_out and two.held_out and one.base_score == pytest.approx(two.base_score)
+    assert one.score > two.score + 10
+
+
+def held_out(k: int) -> bool:
+    return zlib.crc32(str(k).encode()) % 7 == 2
