@@ -49,3 +49,16 @@ def test_contract(spark):
 
 def test_no_oracle_is_an_echo():
     assert len(catalogue.ORACLES) >= 50
+
+
+def test_recursive_answer_goes_on_behind_the_last_unrolled_round(spark, tmp_path):
+    """A source of 256 facts, two to a pack, ends in its eighth round. The SQL unrolls seven and has no row for it; with more it has the same."""
+    texts = [(k, f"fact {k:04d} of that kind " + "y" * 760, "deep") for k in range(256)] + [(1000 + k, f"fact {k} of that kind.", "flat") for k in range(9)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con, sql, most = duckdb.connect(), catalogue.ORACLES["recursive_answer"], 10
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    more = sql[: sql.index("w0 AS (")] + ", ".join(map(catalogue._round_sql, range(most))) + sql[sql.index(" SELECT source, CAST(part") : sql.index("SELECT * FROM d0")] + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(most)) + ")"
+    got = catalogue.QUERIES["recursive_answer"](spark, str(tmp_path)).toArrow()
+    assert rows(got) == rows(con.sql(more).to_arrow_table())
+    ended = zip(got.column("source").to_pylist(), got.column("rounds").to_pylist())
+    assert {*ended} == {("deep", 7), ("flat", 0)} and {r[0] for r in con.sql(sql).fetchall()} == {"flat"}
